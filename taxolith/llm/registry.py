@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from taxolith.llm import exact_dedup, quality, toxicity
+from taxolith.llm import exact_dedup, pieces, quality, token_counts, toxicity
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
