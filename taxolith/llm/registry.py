@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from taxolith.llm import exact_dedup, pieces, quality, token_counts, toxicity
+from taxolith.llm import exact_dedup, licenses, pieces, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_warc": warc.op5_warc,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {
+    "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
