@@ -53,6 +53,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """small() after a count; for tables that are already written."""
+    return small(df, df.count(), limit)
+
+
 def no_clash(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: other columns, whatever their names, never meet our own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

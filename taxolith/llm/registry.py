@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from taxolith.llm import exact_dedup, licenses, pieces, quality, token_counts, toxicity, warc
+from taxolith.llm import exact_dedup, jaccard, licenses, pieces, quality, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
