@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taxolith.llm import exact_dedup, jaccard, licenses, pieces, quality, token_counts, toxicity, warc
+from taxolith.llm import exact_dedup, jaccard, licenses, line_dedup, pieces, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_quality_classifier": quality.op10_quality_classifier,
