@@ -23,7 +23,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 
 # Fixed values, hand-written: label, what its name looks like as words, keywords (a+b, c: a text must have a and b, or c), words of its address.
 FAMILIES = """
-apache-2.0 | apache(?: software)?(?: licen[sc]e)?(?: version)?(?: v)? 2(?: 0)? | apache | apache org licenses license 2 0
+apache-2.0 | apache(?: software)?(?: licen[sc]e)?(?: version)?(?: v)? v?2(?: 0)? | apache | apache org licenses license 2 0
 apache-1.1 | apache(?: software)?(?: licen[sc]e)?(?: version)? 1 1 | apache | apache org licenses license 1 1
 apache | apache(?: software)? licen[sc]e | apache |
 mit | (?:mit|expat|x11)(?: style)? licen[sc]e | mit+license, mit+licence, expat, x11 | opensource org licenses mit
@@ -33,37 +33,37 @@ bsd-3-clause | (?:new bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bs
 bsd-4-clause | (?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[sc]e)? | bsd | spdx org licenses bsd 4 clause
 bsd | bsd(?: style)? licen[sc]e | bsd | opensource org licenses bsd
 isc | isc licen[sc]e | isc | opensource org licenses isc
-gpl-1.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? 1(?: 0)? | gpl, general+public | gnu org licenses gpl 1 0
-gpl-2.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? 2(?: 0)? | gpl, general+public | gnu org licenses gpl 2 0
-gpl-2.0-or-later | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? 2(?: 0)? (?:or (?:any )?later|or at your option any later version) | gpl+later, general+public+later | spdx org licenses gpl 2 0 or later
-gpl-3.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? 3(?: 0)? | gpl, general+public | gnu org licenses gpl 3 0
-gpl-3.0-or-later | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? 3(?: 0)? (?:or (?:any )?later|or at your option any later version) | gpl+later, general+public+later | spdx org licenses gpl 3 0 or later
+gpl-1.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? v?1(?: 0)? | gpl, general+public | gnu org licenses gpl 1 0
+gpl-2.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? v?2(?: 0)? | gpl, general+public | gnu org licenses gpl 2 0
+gpl-2.0-or-later | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? v?2(?: 0)? (?:or (?:any )?later|or at your option any later version) | gpl+later, general+public+later | spdx org licenses gpl 2 0 or later
+gpl-3.0 | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? v?3(?: 0)? | gpl, general+public | gnu org licenses gpl 3 0
+gpl-3.0-or-later | (?:gpl|general public licen[sc]e)(?: version)?(?: v)? v?3(?: 0)? (?:or (?:any )?later|or at your option any later version) | gpl+later, general+public+later | spdx org licenses gpl 3 0 or later
 gpl-any | (?:gnu gpl|gnu general public licen[sc]e) | gnu | gnu org licenses gpl
-lgpl-2.0 | (?:lgpl|(?:lesser|library) general public licen[sc]e)(?: version)?(?: v)? 2(?: 0)? | lgpl, general+public | gnu org licenses lgpl 2 0
-lgpl-2.1 | (?:lgpl|lesser general public licen[sc]e)(?: version)?(?: v)? 2 1 | lgpl, lesser | gnu org licenses lgpl 2 1
-lgpl-3.0 | (?:lgpl|lesser general public licen[sc]e)(?: version)?(?: v)? 3(?: 0)? | lgpl, lesser | gnu org licenses lgpl 3 0
+lgpl-2.0 | (?:lgpl|(?:lesser|library) general public licen[sc]e)(?: version)?(?: v)? v?2(?: 0)? | lgpl, general+public | gnu org licenses lgpl 2 0
+lgpl-2.1 | (?:lgpl|lesser general public licen[sc]e)(?: version)?(?: v)? v?2 1 | lgpl, lesser | gnu org licenses lgpl 2 1
+lgpl-3.0 | (?:lgpl|lesser general public licen[sc]e)(?: version)?(?: v)? v?3(?: 0)? | lgpl, lesser | gnu org licenses lgpl 3 0
 lgpl | (?:gnu )?(?:lesser|library) general public licen[sc]e | general | gnu org licenses lgpl
-agpl-3.0 | (?:agpl|affero general public licen[sc]e)(?: version)?(?: v)? 3(?: 0)? | agpl, affero | gnu org licenses agpl 3 0
+agpl-3.0 | (?:agpl|affero general public licen[sc]e)(?: version)?(?: v)? v?3(?: 0)? | agpl, affero | gnu org licenses agpl 3 0
 agpl | (?:gnu )?affero general public licen[sc]e | affero | gnu org licenses agpl
-gfdl-1.2 | (?:gfdl|free documentation licen[sc]e)(?: version)?(?: v)? 1 2 | gfdl, documentation | gnu org licenses fdl 1 2
-gfdl-1.3 | (?:gfdl|free documentation licen[sc]e)(?: version)?(?: v)? 1 3 | gfdl, documentation | gnu org licenses fdl 1 3
+gfdl-1.2 | (?:gfdl|free documentation licen[sc]e)(?: version)?(?: v)? v?1 2 | gfdl, documentation | gnu org licenses fdl 1 2
+gfdl-1.3 | (?:gfdl|free documentation licen[sc]e)(?: version)?(?: v)? v?1 3 | gfdl, documentation | gnu org licenses fdl 1 3
 gfdl | (?:gnu )?free documentation licen[sc]e | documentation | gnu org licenses fdl
-mpl-1.0 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? 1(?: 0)? | mpl, mozilla | mozilla org mpl 1 0
-mpl-1.1 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? 1 1 | mpl, mozilla | mozilla org mpl 1 1
-mpl-2.0 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? 2(?: 0)? | mpl, mozilla | mozilla org mpl 2 0
+mpl-1.0 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? v?1(?: 0)? | mpl, mozilla | mozilla org mpl 1 0
+mpl-1.1 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? v?1 1 | mpl, mozilla | mozilla org mpl 1 1
+mpl-2.0 | (?:mpl|mozilla public licen[sc]e)(?: version)?(?: v)? v?2(?: 0)? | mpl, mozilla | mozilla org mpl 2 0
 mpl | mozilla public licen[sc]e | mozilla | mozilla org mpl
-epl-1.0 | (?:epl|eclipse public licen[sc]e)(?: version)?(?: v)? 1(?: 0)? | epl, eclipse | eclipse org legal epl v10
-epl-2.0 | (?:epl|eclipse public licen[sc]e)(?: version)?(?: v)? 2(?: 0)? | epl, eclipse | eclipse org legal epl 2 0
-cddl-1.0 | (?:cddl|common development and distribution licen[sc]e)(?: version)?(?: v)? 1(?: 0)? | cddl, distribution | opensource org licenses cddl 1 0
-cddl-1.1 | (?:cddl|common development and distribution licen[sc]e)(?: version)?(?: v)? 1 1 | cddl, distribution | spdx org licenses cddl 1 1
+epl-1.0 | (?:epl|eclipse public licen[sc]e)(?: version)?(?: v)? v?1(?: 0)? | epl, eclipse | eclipse org legal epl v10
+epl-2.0 | (?:epl|eclipse public licen[sc]e)(?: version)?(?: v)? v?2(?: 0)? | epl, eclipse | eclipse org legal epl 2 0
+cddl-1.0 | (?:cddl|common development and distribution licen[sc]e)(?: version)?(?: v)? v?1(?: 0)? | cddl, distribution | opensource org licenses cddl 1 0
+cddl-1.1 | (?:cddl|common development and distribution licen[sc]e)(?: version)?(?: v)? v?1 1 | cddl, distribution | spdx org licenses cddl 1 1
 cpl-1.0 | common public licen[sc]e(?: version)?(?: v)?(?: 1 0)? | common | opensource org licenses cpl1 0
 ipl-1.0 | ibm public licen[sc]e(?: version)?(?: v)?(?: 1 0)? | ibm | opensource org licenses ibmpl
-eupl-1.1 | (?:eupl|european union public licen[sc]e)(?: version)?(?: v)? 1 1 | eupl, european | joinup eu eupl 1 1
-eupl-1.2 | (?:eupl|european union public licen[sc]e)(?: version)?(?: v)? 1 2 | eupl, european | joinup eu eupl 1 2
-cecill-2.1 | cecill(?: free software licen[sc]e)?(?: agreement)?(?: version)?(?: v)? 2 1 | cecill | cecill info licences 2 1
+eupl-1.1 | (?:eupl|european union public licen[sc]e)(?: version)?(?: v)? v?1 1 | eupl, european | joinup eu eupl 1 1
+eupl-1.2 | (?:eupl|european union public licen[sc]e)(?: version)?(?: v)? v?1 2 | eupl, european | joinup eu eupl 1 2
+cecill-2.1 | cecill(?: free software licen[sc]e)?(?: agreement)?(?: version)?(?: v)? v?2 1 | cecill | cecill info licences 2 1
 cecill | cecill(?: b| c)?(?: licen[sc]e)? | cecill | cecill info licences
 artistic-1.0 | artistic licen[sc]e(?: version)?(?: v)?(?: 1 0)? | artistic | opensource org licenses artistic 1 0
-artistic-2.0 | artistic licen[sc]e(?: version)?(?: v)? 2(?: 0)? | artistic | opensource org licenses artistic 2 0
+artistic-2.0 | artistic licen[sc]e(?: version)?(?: v)? v?2(?: 0)? | artistic | opensource org licenses artistic 2 0
 bsl-1.0 | boost software licen[sc]e(?: version)?(?: v)?(?: 1 0)? | boost | boost org license 1 0
 busl-1.1 | business source licen[sc]e(?: version)?(?: v)?(?: 1 1)? | business | mariadb com bsl11
 zlib | zlib(?: libpng)? licen[sc]e | zlib | opensource org licenses zlib
