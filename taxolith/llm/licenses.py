@@ -129,7 +129,7 @@ FORMS = (
     (r"spdx licen[sc]e identifier {id}", 100, 0.99, "spdx"),
     (r"(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed)(?: to you)? (?:under|by|with)(?: the)?(?: terms of)?(?: the)?(?: gnu)? {name}", 90, 0.95, ""),
     (r"(?:https? )?(?:www )?{address}", 80, 0.9, ""),
-    (r"{name}", 60, 0.7, ""),
+    (r"(?:gnu )?{name}", 60, 0.7, ""),
 )
 
 

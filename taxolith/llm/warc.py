@@ -148,7 +148,7 @@ def records(stream, block: int = BLOCK, chunk: int = CHUNK):
         plain = plain[4:]
 
 
-def read(files: DataFrame, folder: str) -> DataFrame:
+def read(files: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows of the archives named in files(path), with the digest of the payload up to each chunk."""
     names = CHUNKS.replace(",", "").split()[::2]
 
@@ -158,7 +158,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for path in b.column("path").to_pylist():
                 rows, digest = [], None
                 with store.open_input_stream(path, compression=None) as stream:
-                    for fields, number, part, last in records(stream):
+                    for fields, number, part, last in records(stream, chunk=chunk):
                         digest = hashlib.sha256() if number == 0 else digest
                         digest.update(part)
                         page = fields["WARC-Record-ID"][10:-1]
@@ -187,7 +187,7 @@ def round_trip(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     manifest = common.kept(write(chunked(typed(pages), chunk), folder), "warc_manifest")
     files = manifest.select("path").distinct()
     files = files.repartition(max(1, min(files.count(), 100_000)))  # a task per file, whatever their names hash to
-    ends = read(files, folder).where("last")
+    ends = read(files, folder, chunk).where("last")
     whole = ends.withColumn("read_bytes", F.when(F.col("chunk_no") == 0, F.col("n_bytes")).otherwise(F.col("chunk_no") * chunk + F.col("n_bytes")))
     revisit = F.col("warc_type") == "revisit"
     broken = ~revisit & ((F.col("read_bytes") != F.col("declared_bytes")) | (F.col("digest_so_far") != F.col("declared_digest")))
