@@ -43,12 +43,13 @@ class PrefixCounter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
         ranks = {(mark(a), mark(b)): r for r, (a, b) in enumerate(pairs)}
         units = lambda s: [*s[:-2], s[-2:]] if s.endswith(END) else list(s)
-        self.merges = Merges({mark(t): i for t, i in said["model"]["vocab"].items()}, lambda a, b: ranks.get((a, b)), units)
+        self.merges = Merges({mark(t): i for t, i in said["model"]["vocab"].items()}, lambda a, b: ranks.get((a, b)), units, END)
         self.symbols = byte_symbols()
         split = next(p["pattern"]["Regex"] for p in said["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in said["added_tokens"]) or r"(?!)")
-        self.chunks = Memory(lambda chunk: sum(self.table(w)[-1] for w in self.word.findall(chunk)))
+        self.words = Memory(lambda word: self.table(word)[-1])
+        self.chunks = Memory(lambda chunk: self.words[chunk] if chunk.isalpha() and chunk.isascii() else sum(map(self.words.__getitem__, self.word.findall(chunk))))
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -57,7 +58,7 @@ class PrefixCounter:
 
     def table(self, word: str) -> list[int]:
         """table[k]: tokens of the first k UTF-8 bytes of a word, as a word of its own."""
-        return self.merges.prefix_counts("".join(self.symbols[b] for b in word.encode()), END)
+        return self.merges.prefix_counts("".join(self.symbols[b] for b in word.encode()))
 
     def count(self, text: str | None) -> int:
         if not text:
