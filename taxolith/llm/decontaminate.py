@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,60 +31,80 @@ CACHE = 200_000
 
 # Units that may stand behind a number.
 UNITS = frozenset("km m cm mm mi ft in kg g mg lb oz l ml h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years mph kmh usd eur gbp dollar dollars euro euros cent cents percent degrees celsius fahrenheit watt watts kw volts meters metres kilometers miles feet inches grams kilograms pounds liters litres".split())
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?$")
+NUMBER = re.compile(r"\d[\d.,:/]*$")
 STRIP = "\"'“”‘’«»()[]{}<>*_~`#&|$%^=+\\/!?.,;:¡¿…-–—"
 NUM, NAME, UNIT = 1, 2, 3
 HIT = "doc_id long, at long, window long, slots array<string>"
 
 
+class Numbers(dict):
+    """token → its number, given when it is first seen."""
+
+    def __init__(self, templates):
+        super().__init__()
+        self.number = templates.number
+
+    def __missing__(self, token: str) -> int:
+        return self.number(token)
+
+
 class Templates:
     """Template tokens of texts; tokens are remembered within bounds by number."""
 
     def __init__(self):
+        self.marks = {name: self.hash(f"#{name}") for name in ("number", "name", "unit")}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.inner, self.kind_first, self.kind_inner, self.unit, self.ends, self.values = [], [], [], [], [], [], []
-
-    @staticmethod
-    def hash(text: str) -> int:
-        import xxhash
+        self.known = Numbers(self)
+        self.values: list[str] = []
+        size = 1 << 12
+        self.first, self.inner = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        self.kind_first, self.kind_inner = np.zeros(size, np.int8), np.zeros(size, np.int8)
+        self.unit, self.ends = np.zeros(size, bool), np.zeros(size, bool)
 
-        return xxhash.xxh3_64_intdigest(text)
+    hash = staticmethod(xxhash.xxh3_64_intdigest)
 
     def number(self, token: str) -> int:
-        if (found := self.known.get(token)) is not None:
-            return found
+        at = self.known[token] = len(self.values)
+        if at == len(self.first):
+            for name in ("first", "inner", "kind_first", "kind_inner", "unit", "ends"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old, np.zeros_like(old))))
+        if token.isalpha() and token.islower():
+            self.values.append(token)
+            self.first[at] = self.inner[at] = self.hash("=" + token)
+            self.unit[at] = token in UNITS
+            return at
         bare = token.strip(STRIP)
         low = bare.lower()
-        is_number = bool(bare) and bool(NUMBER.match(token.strip("\"'()[]!?;:,."))) or bare.replace(".", "").replace(",", "").isdigit()
-        name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-        literal = self.hash("=" + low) if bare else 0
-        self.first.append(self.hash("#number") if is_number else literal)
-        self.inner.append(self.hash("#number") if is_number else self.hash("#name") if name else literal)
-        self.kind_first.append(NUM if is_number else 0)
-        self.kind_inner.append(NUM if is_number else NAME if name else 0)
-        self.unit.append(low in UNITS)
-        self.ends.append(token.rstrip("\"'”’»)]*_")[-1:] in (".", "!", "?"))
         self.values.append(low)
-        self.known[token] = len(self.first) - 1
-        return len(self.first) - 1
+        self.unit[at] = low in UNITS
+        self.ends[at] = token.rstrip("\"'”’»)]*_")[-1:] in (".", "!", "?")
+        if bare[:1].isdigit() and NUMBER.match(bare):
+            self.first[at] = self.inner[at] = self.marks["number"]
+            self.kind_first[at] = self.kind_inner[at] = NUM
+        elif bare:
+            name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
+            self.first[at] = self.hash("=" + low)
+            self.inner[at] = self.marks["name"] if name else self.first[at]
+            self.kind_inner[at] = NAME if name else 0
+        return at
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, kind, number of the token) of each word that is not punctuation alone."""
         if len(self.known) > CACHE:
             self.clear()
-        codes = np.fromiter(map(self.number, (text or "").split()), np.int64)
+        codes = np.fromiter(map(self.known.__getitem__, (text or "").split()), np.int64)
         if not len(codes):
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), codes
-        begins = np.concatenate(([True], np.array(self.ends, bool)[codes[:-1]]))
-        hashes = np.where(begins, np.array(self.first, np.uint64)[codes], np.array(self.inner, np.uint64)[codes])
-        kinds = np.where(begins, np.array(self.kind_first, np.int8)[codes], np.array(self.kind_inner, np.int8)[codes])
+        begins = np.concatenate(([True], self.ends[codes[:-1]]))
+        hashes = np.where(begins, self.first[codes], self.inner[codes])
+        kinds = np.where(begins, self.kind_first[codes], self.kind_inner[codes])
         kept = hashes != 0
         hashes, kinds, codes = hashes[kept], kinds[kept], codes[kept]
-        units = np.array(self.unit, bool)[codes] & np.concatenate(([False], kinds[:-1] == NUM))
-        return np.where(units, np.uint64(self.hash("#unit")), hashes), np.where(units, np.int8(UNIT), kinds), codes
+        units = self.unit[codes] & np.concatenate(([False], kinds[:-1] == NUM))
+        return np.where(units, np.uint64(self.marks["unit"]), hashes), np.where(units, np.int8(UNIT), kinds), codes
 
     def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list]:
         """(start, hash) of each window with enough literals, and the text's tokens."""

@@ -257,8 +257,8 @@ def test_line_dedup_by_brute_force(spark):
     docs = docs_of(spark, rows, True)
     lines = [(i, k, " ".join(w for w in re.split(r"[\W_]+", line.lower()) if w)) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
     norms = sorted({n for *_, n in lines if n})
-    keyed = line_dedup.lines_of(spark.createDataFrame([(i, n) for i, n in enumerate(norms)], "doc_id long, text string")).withColumn("key", line_dedup.line_key("words"))
-    hashes = {norms[r.doc_id]: r.simhash for r in line_dedup.simhash_and_key(keyed).collect()}
+    keyed = line_dedup.lines_of(spark.createDataFrame([(i, n) for i, n in enumerate(norms)], "doc_id long, text string"))
+    hashes = {norms[r.doc_id]: r.simhash for r in line_dedup.keyed(keyed).collect()}
     root = {n: n for n in norms}
 
     def find(n):
