@@ -11,7 +11,7 @@ Documents with the same set are one class from the start and never make pairs. L
 spanning forest and a number of links per class; components come from contracting the forests.
 
 Sizes fall into bands; a document is cut as its own band asks and, if it may link with a larger one of the next band,
-as that one asks too. Documents with unusually many empty fragments also send those, so that the count stays exact.
+as that one asks too.
 """
 
 from __future__ import annotations
@@ -34,8 +34,12 @@ from taxolith.llm.shingles import mix, shingle_set
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1_000_000
 #: Columns of a fragment when overlaps are counted.
 FRAGMENT = 2_048
+#: Orders of n-grams by which a set with many weak fragments is cut.
+ORDERS = 8
+#: Cells of hashes whose counts bound an overlap from above.
+CELLS = 64
 #: A band's largest size over its smallest.
-BAND = 1.6
+BAND = 1.3
 
 
 @functools.cache
@@ -49,34 +53,48 @@ def bands(num: int, den: int, upto: int) -> list[int]:
 
 
 def fragments_of(band: int, starts: list[int], num: int, den: int) -> tuple[int, int]:
-    """(fragments, empty ones that change nothing) for pairs whose larger set is in the band."""
+    """(fragments, weak ones that change nothing) for pairs whose larger set is in the band."""
     differ = 2 * (starts[band + 1] - 1) * (den - num) // (den + num)
     if not differ:
         return 1, 0
-    spare = 1 + differ // 50
+    spare = 1 + differ // 4
     return differ + 1 + spare, spare
 
 
 def fragment_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The numbers a set sends; two sets that link share one."""
+    """The numbers a set sends; two sets that link share one.
+
+    A weak fragment, empty or of one n-gram, is not sent: many unlike documents share it. Fragments are more than
+    differences by the number of weak ones allowed, so if all that two linked sets share are weak, both have too many.
+    Such a set is cut again by another order of n-grams, until it has few; after ORDERS orders it sends weak ones too.
+    """
     n = len(grams)
     if not n:
         return np.zeros(0, np.uint64)
     starts = bands(num, den, 1 << max(8, (2 * n).bit_length()))
     own = int(np.searchsorted(starts, n, "right")) - 1
-    scattered = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams))))
     out = []
     for band in (own, own + 1):
         if band > own and n * den < num * starts[band]:
             break  # too small for any set of the next band
         k, spare = fragments_of(band, starts, num, den)
-        place = ((grams >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        sizes = np.bincount(place.astype(np.int64), minlength=k)
-        ends = np.cumsum(sizes)
-        sums = scattered[ends] - scattered[ends - sizes]
-        tag = np.arange(k, dtype=np.uint64) + np.uint64(band << 32)
-        keys = mix(mix(sums + sizes.astype(np.uint64)) ^ mix(tag))
-        out.append(keys if (sizes == 0).sum() > spare else keys[sizes > 0])
+        # both sets of a pair must call the same fragments weak: the bound depends on the band alone
+        least = 1 if num * starts[band] > 3 * k * den else 0
+        for order in range(ORDERS):
+            ordered = grams if not order else np.sort(mix(grams ^ np.uint64(order)))
+            place = ((ordered >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            sizes = np.bincount(place.astype(np.int64), minlength=k)
+            scattered = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ordered))))
+            ends = np.cumsum(sizes)
+            sums = scattered[ends] - scattered[ends - sizes]
+            tag = np.arange(k, dtype=np.uint64) + np.uint64((band << 32) + (order << 48))
+            keys = mix(mix(sums + sizes.astype(np.uint64)) ^ mix(tag))
+            strong = sizes > least
+            out.append(keys[strong])
+            if k - strong.sum() <= spare:
+                break
+        else:
+            out.append(keys[~strong])
     return np.concatenate(out)
 
 
@@ -85,43 +103,40 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def fragmented(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (digest of the set), keys, of every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, k1, k2 (digest of the set), keys, cells (n-grams per cell), of every row of docs(doc_id, text)."""
 
     def run(batches):
         for b in batches:
-            sizes, k1, k2, flat, ends = [], [], [], [], [0]
+            sizes, k1, k2, flat, ends, cells = [], [], [], [], [0], []
             for text in b.column("text").to_pylist():
                 grams = shingle_set(text, n)
                 digest = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
                 keys = fragment_keys(grams, num, den)
                 sizes.append(len(grams)), k1.append(int(digest[0])), k2.append(int(digest[1]))
-                flat.append(keys), ends.append(ends[-1] + len(keys))
+                flat.append(keys), ends.append(ends[-1] + len(keys)), cells.append(cells_of(grams).tobytes())
             values = pa.array(signed(np.concatenate([*flat, np.zeros(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "n_shingles", "k1", "k2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(cells, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "keys", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, cells binary")
 
 
-def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
-    """Sizes of the intersections of sets, or of the first left sets with the others: fragment by fragment, then summed."""
-    sizes = [len(s) for s in sets]
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs: counted fragment by fragment, then summed."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column, minlength=1) > 1  # an n-gram of one set alone adds nothing
-    keep = shared[column] if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(np.concatenate(([True], flat[1:] != flat[:-1]))) - 1
+    shared = np.bincount(column) > 1  # an n-gram of one set alone adds nothing
+    keep = shared[column]
     owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
-    rows = slice(0, left), slice(left, None)
-    total = np.zeros((len(sets[rows[0]]), len(sets[rows[1]])) if left is not None else (len(sets), len(sets)), np.float32)
+    total = np.zeros((len(sets), len(sets)), np.float32)
     width = int(shared.sum())
     for start in range(0, width, FRAGMENT):
         a, b = np.searchsorted(column, (start, start + FRAGMENT))
         part = np.zeros((len(sets), min(FRAGMENT, width - start)), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
-        total += part @ part.T if left is None else part[rows[0]] @ part[rows[1]].T
+        total += part @ part.T
     return total.astype(np.int64)
 
 
@@ -136,6 +151,49 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = after
 
 
+def cells_of(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams lie in each cell of the order."""
+    return np.bincount((grams.view(np.uint64) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
+
+
+def plausible(cells: np.ndarray, left: int | None, num: int, den: int) -> np.ndarray:
+    """Symmetric matrix of pairs whose overlap, cell by cell at most the smaller count, may reach the threshold."""
+    size = cells.sum(axis=1)
+    out = np.zeros((len(cells), len(cells)), bool)
+    for i in range(len(cells) if left is None else left):
+        j = i + 1 if left is None else left
+        total = size[i] + size[j:]
+        most = (total - np.abs(cells[j:] - cells[i]).sum(axis=1)) // 2
+        out[i, j:] = den * most >= num * (total - most)
+    return out | out.T
+
+
+def block_candidates(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """(a, b) that connect what plausible() connects among the rows of each (cluster, i, j)."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for (_, i, j), rows in pdf.groupby(["cluster", "i", "j"], sort=False):
+        rows = rows.sort_values(["block", "node"])
+        left = None if i == j else int((rows["block"] == i).sum())
+        if left is None or 0 < left < len(rows):
+            linked = plausible(np.stack([np.frombuffer(c, np.int32) for c in rows["cells"]]), left, num, den)
+            some, node = linked.any(axis=1), rows["node"].to_numpy()
+            a.append(node[some]), b.append(node[forest(linked)][some])
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def placed_in_blocks(members: DataFrame, docs_limit: int, grams_limit: int) -> DataFrame:
+    """members(node, cluster, n_shingles, ...) with blocks, block: clusters over a limit are split by the node's hash."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
+    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("docs") / docs_limit), F.ceil(F.col("grams") / grams_limit)).cast("long").alias("blocks"))
+    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def dealt(placed: DataFrame, bins: int) -> DataFrame:
+    """A row per pair of blocks that a member belongs to (i, j), and the bin of the task; small clusters share a bin."""
+    rows = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
+    return rows.withColumn("bin", F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
+
+
 def block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links among the rows of each (cluster, i, j): all pairs of a block with i = j, else pairs across."""
     nodes, roots, counts = [], [], []
@@ -143,19 +201,22 @@ def block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         rows = rows.sort_values(["block", "node"])
         sets = [np.asarray(s, np.int64) for s in rows["grams"]]
         size, node, copies = np.array([len(s) for s in sets]), rows["node"].to_numpy(), rows["copies"].to_numpy()
-        m = len(sets)
-        linked = np.zeros((m, m), bool)
-        if i == j:
-            both = overlaps(sets)
-            linked = den * both >= num * (size[:, None] + size[None, :] - both)
-            np.fill_diagonal(linked, False)
+        left = None if i == j else int((rows["block"] == i).sum())
+        if left is not None and not 0 < left < len(sets):
+            continue
+        linked = plausible(np.stack(list(map(cells_of, sets))), left, num, den)
+        some = np.flatnonzero(linked.any(axis=1))
+        if not len(some):
+            continue
+        sets, size, node, copies = [sets[k] for k in some], size[some], node[some], copies[some]
+        linked = linked[np.ix_(some, some)]
+        if linked.sum() <= 8 * len(some):
+            for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                linked[x, y] = linked[y, x] = den * both >= num * (size[x] + size[y] - both)
         else:
-            left = int((rows["block"] == i).sum())
-            if 0 < left < m:
-                both = overlaps(sets, left)
-                cross = den * both >= num * (size[:left, None] + size[None, left:] - both)
-                linked[:left, left:] = cross
-                linked[left:, :left] = cross.T
+            both = overlaps(sets)
+            linked &= den * both >= num * (size[:, None] + size[None, :] - both)
         some = linked.any(axis=1)
         nodes.append(node[some]), roots.append(node[forest(linked)][some]), counts.append((linked @ copies)[some])
     cat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
@@ -187,14 +248,18 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     star = sent.withColumn("first", F.min("sid").over(Window.partitionBy("key"))).where("first <> sid").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     clusters = connected_components(star)
 
+    # counts per cell refine the clusters before any set is moved: what can't reach the threshold is cut
+    wide = classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "k1", "cluster", "copies", "n_shingles")
+    wide = common.kept(placed_in_blocks(wide, 2 * BLOCK_DOCS, 1 << 40), "wide_clusters")
+    cells = filled.select(F.col("doc_id").alias("node"), "k1", "cells").join(common.checked(wide), ["node", "k1"]).dropDuplicates(["node", "k1"])
+    bins = wide.count() // BLOCK_DOCS + 4
+    fine = dealt(cells.select("node", "cluster", "blocks", "block", "cells"), bins).groupBy("bin").applyInPandas(lambda pdf: block_candidates(pdf, num, den), "a long, b long")
+    clusters = connected_components(fine).withColumnRenamed("root", "cluster")
+
     # clusters to blocks
-    members = common.kept(classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "cluster", "copies", "n_shingles"), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long"))
-    grams = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bins = int(grams // BLOCK_GRAMS) * 2 + 4  # small clusters share a bin
-    placed = members.join(sizes.select("cluster", "blocks"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = common.kept(placed, "placed")
+    members = wide.select("node", "copies", "n_shingles").join(clusters, "node")
+    placed = common.kept(placed_in_blocks(members, BLOCK_DOCS, BLOCK_GRAMS), "clusters")
+    bins = int(placed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] // BLOCK_GRAMS) * 2 + 4
     chosen = texts.join(common.checked(placed), texts.doc_id == placed.node)
 
     def sets(batches):
@@ -205,9 +270,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "cluster", "copies", "blocks", "block")], pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "cluster", "copies", "blocks", "block", "grams"])
 
     with_sets = chosen.select("node", "cluster", "copies", "blocks", "block", "text").mapInArrow(sets, "node long, cluster long, copies long, blocks long, block long, grams array<long>")
-    dealt = with_sets.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
-    bin_ = F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    links = common.kept(dealt.withColumn("bin", bin_).groupBy("bin").applyInPandas(lambda pdf: block_links(pdf, num, den), "node long, root long, links long"), "links")
+    links = common.kept(dealt(with_sets, bins).groupBy("bin").applyInPandas(lambda pdf: block_links(pdf, num, den), "node long, root long, links long"), "links")
     components = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
 

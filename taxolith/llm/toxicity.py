@@ -135,8 +135,11 @@ def words_and_stems(text: Column) -> Column:
     """Distinct words of a text, marked by =, and their beginnings."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"))
     words = F.filter(words, lambda w: F.length(w) >= 3)
-    stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)) for k in STEMS]
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *stems))
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
+
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *map(stems, STEMS)))
 
 
 def learned(sample: DataFrame, limit: int = LEXICON) -> dict[str, float]:
