@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes, stats, text
-from taxolith.operators import checks, decide, runlog, sample, score, select, similarity, structure, taxonomy, votes
+from taxolith.operators import checks, decide, lineage, replay, runlog, sample, score, select, similarity, structure, taxonomy, votes
 from taxolith.plans.registry import ORACLES, QUERIES
 
 
@@ -507,3 +507,79 @@ def dq_checks(spark, sf_dir):
         "row_loss": checks.differences(orders.select("o_orderkey"), orders.select("o_orderkey")),
         "cost_total": checks.totals_differ(parts, "q", lines, "l_quantity", 1e-6),
     })
+
+
+# --- replay and lineage ---------------------------------------------------------------------------------------------
+
+
+@query(TALLY + """, f AS (SELECT *, CASE WHEN weakest >= 90 THEN 3 WHEN weakest >= 80 THEN 2 WHEN weakest >= 70 THEN 1 ELSE 0 END AS k, CASE WHEN line % 5 = 1 THEN 1 ELSE 0 END AS b FROM tally WHERE line % 17 <> 0 AND line % 19 <> 0 AND line % 23 <> 0 AND line % 29 <> 0 AND line % 31 <> 0 AND passes >= 2 AND line % 7 <> 0 AND line % 11 <> 0 AND leader <> 'error' AND line % 13 <> 0 AND line % 37 <> 0 AND line % 5 <> 0 AND line % 41 <> 0 AND NOT (line % 3 = 0 AND line % 2 <> 0)),
+t AS (SELECT * FROM (VALUES ('T1',1,3),('T2',1,2),('T3',1,1),('T4',1,0),('T5',0,3),('T6',0,2),('T7',0,1),('T8',0,0)) x(threshold, mb, mk))
+SELECT threshold, count(*) FILTER (WHERE NOT tie AND (votes > 2 OR (votes = 2 AND (b > mb OR (b = mb AND k >= mk))))) AS matched FROM f, t GROUP BY 1""")
+def redecide_thresholds(spark, sf_dir):
+    out = replay.redecided(decision_rows(spark, sf_dir), decide.thresholds(spark, 2))
+    return out.groupBy("threshold").agg(F.count_if(F.col("decision") == "matched").alias("matched"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'T3' WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'T7' ELSE 'T1' END AS threshold,
+CASE WHEN o_orderkey % 10 = 0 THEN 'override' WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'policy' ELSE 'fallback' END AS how FROM orders""")
+def policy_lookup(spark, sf_dir):
+    q = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("library_hash"), F.when(F.col("o_orderkey") % 10 == 0, "T3").alias("override"))
+    p = spark.createDataFrame([("1-URGENT", "F", "T7")], "model string, library_hash string, threshold string")
+    return replay.resolved_policy(q, p, "T1").select("o_orderkey", "threshold", "how")
+
+
+@query(TAXONOMY + """, f AS (SELECT p_partkey AS line, code AS leader, c.type FROM part JOIN coded c ON c.type = p_type AND c.usage = p_brand AND c.subtype = CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END WHERE p_partkey % 3 = 0),
+n AS (SELECT *, (row_number() OVER (PARTITION BY type ORDER BY line) - 1) // 8 AS group_no FROM f)
+SELECT type, group_no::bigint AS group_no, array_to_string(list(line ORDER BY line), ';') AS lines, (SELECT count(*) FROM coded c WHERE c.type = n.type) AS candidates FROM n GROUP BY type, group_no""")
+def verifier_groups(spark, sf_dir):
+    coded = taxonomy_of(spark, sf_dir)
+    part = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("line"), F.col("p_type").alias("type"), F.col("p_brand").alias("usage"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name")).alias("subtype"))
+    flagged = part.join(coded, ["type", "usage", "subtype"]).select("line", F.col("code").alias("leader"))
+    out = replay.verifier_groups(flagged, coded, 8)
+    return out.select("type", "group_no", F.array_join(F.col("lines").cast("array<string>"), ";").alias("lines"), F.size("candidates").cast("long").alias("candidates"))
+
+
+@query(PAIRS + """, p AS (SELECT lang, correct, decision = 'matched' AS a, score >= 50 AS b FROM pairs), e AS (SELECT lang, correct, 'shipped' AS policy, a AS m FROM p UNION ALL SELECT lang, correct, 'rescue', a OR b FROM p UNION ALL SELECT lang, correct, 'veto', a AND b FROM p)
+SELECT lang, policy, count(*) FILTER (WHERE m) AS matched, count(*) FILTER (WHERE m AND correct) AS correct, round(count(*) FILTER (WHERE m AND correct) / nullif(count(*) FILTER (WHERE m), 0), 6) AS precision FROM e GROUP BY 1, 2""")
+def policy_figures(spark, sf_dir):
+    p = pairs_of(spark, sf_dir)
+    a, b = F.col("decision") == "matched", F.col("score") >= 50
+    return replay.policy_figures(p, {"shipped": a, "rescue": a | b, "veto": a & b}, ["lang"]).withColumn("precision", r6("precision"))
+
+
+@query("""SELECT sum(quality - toxic)::bigint AS gain, count(*) FILTER (WHERE quality <> toxic) AS discordant, count(*) FILTER (WHERE quality > toxic) AS improved, 0::bigint AS unpaired, sum(quality - toxic) >= greatest(6, 2 * sqrt(count(*) FILTER (WHERE quality <> toxic))) AS keep FROM labels""")
+def keep_verdict(spark, sf_dir):
+    l = table(spark, sf_dir, "labels")
+    return replay.keep_verdict(l.select("doc_id", F.col("toxic").alias("correct")), l.select("doc_id", F.col("quality").alias("correct")), ["doc_id"])
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id AS batch, event_id % 10 AS id FROM events), e AS (SELECT user_id AS batch, event_id % 10 AS id, count(DISTINCT event_type) AS k, min(event_type) AS raw FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+SELECT a.batch, a.id, CASE WHEN k IS NULL THEN 'missing' WHEN k > 1 THEN 'conflict' ELSE 'settled' END AS state, CASE WHEN k = 1 THEN raw END AS raw FROM a LEFT JOIN e ON a.batch = e.batch AND a.id = e.id""")
+def batch_reconcile(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), (F.col("event_id") % 10).alias("id"), F.col("event_type").alias("raw"), "event_id")
+    return replay.reconciled(e.select("batch", "id").distinct(), e.where("event_id % 3 <> 0"))
+
+
+@query("""SELECT l_orderkey AS line, l_linenumber AS call_order, l_partkey AS call_id, p_brand AS model, p_partkey IS NOT NULL AS recorded FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS l_linenumber FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
+LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON l_partkey = p_partkey""")
+def call_lineage(spark, sf_dir):
+    audit = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("line")).agg(F.array_sort(F.collect_set("l_partkey")).alias("call_ids"))
+    calls = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("model"))
+    return lineage.call_fields(audit, calls).select("line", "call_order", "call_id", "model", "recorded")
+
+
+@query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || ',"c_name":"' || c_name || '"}') AS record_sha256 FROM customer""")
+def audit_records(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return c.select("c_custkey", F.sha2(lineage.audit_record(c.columns), 256).alias("record_sha256"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END AS type, printf('%.6f', o_totalprice / 7) AS cost, o_orderkey || ';' || o_custkey AS call_ids FROM orders""")
+def output_cells(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "matched").otherwise("needs_review").alias("decision"), *[F.col("o_orderpriority").alias(c) for c in ("type", "usage", "subtype")], (F.col("o_totalprice") / 7).alias("cost"), F.array(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("call_ids"))
+    return lineage.output_cells(o).select("o_orderkey", "type", "cost", "call_ids")
+
+
+@query(DECISIONS + """SELECT count(*) AS "all", count(*) FILTER (WHERE decision = 'matched') AS matched, count(*) FILTER (WHERE decision = 'needs_review') AS needs_review, count(*) FILTER (WHERE decision = 'not_a_material') AS not_a_material, count(*) FILTER (WHERE starts_with(reason, 'LLM_')) AS failed FROM decided""")
+def filter_counts(spark, sf_dir):
+    return lineage.filter_counts(decide.decided(decision_rows(spark, sf_dir)))
