@@ -281,6 +281,29 @@ def test_line_dedup_by_brute_force(spark):
     assert {r.doc_id: r.text for r in got.select("doc_id", "text").collect()} == expect
 
 
+def test_line_dedup_recall(spark):
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
+    sizes, rows = {}, []
+    for n in (6, 10, 20, 30, 50, 100):
+        while sizes.setdefault(n, 0) < 40:
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for _ in range(rnd.randint(1, max(1, n // 6))):
+                b[rnd.randrange(n)] = word()
+            x, y = " ".join(a), " ".join(b)
+            if edit_distance(x, y) <= 0.2 * max(len(x), len(y)):
+                sizes[n] += 1
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+    found = {r.doc_id: r.class_key for r in line_dedup.classes(docs_of(spark, rows)).collect()}
+    k = 0
+    for n, size in sizes.items():
+        met = sum(i in found and found[i] == found.get(i + 1) for i in range(k, k + 2 * size, 2))
+        print(n, met, size)
+        assert met >= 0.9 * size
+        k += 2 * size
+
+
 def test_line_dedup_odd_rows(spark):
     got = line_dedup.line_dedup(docs_of(spark, ODD, True)).collect()
     assert len(got) == len(ODD)
