@@ -1,11 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names (capitalised words inside a sentence) and units behind numbers are typed
-placeholders, all else is the lower-cased word. Windows of WINDOW template tokens, most of them literal, are hashed;
+placeholders (a run of equal ones is one), all else is the lower-cased word. Windows of WINDOW template tokens, most of them literal, are hashed;
 windows of documents meet those of benchmark items in a join on the hash. Windows of one document and one item that
-agree on their distance make one alignment; the values behind its placeholders must be consistent: one value of the
-item never stands for two values of the document. A document is contaminated if the consistent windows of an alignment
-cover at least COVERAGE of the item's windows, so a question is caught with other numbers and names in it.
+agree on their distance make one alignment, and so do those whose distances follow each other by at most NEAR tokens, as
+words put in or left out move them; the values behind its placeholders must be consistent: one value of the item never
+stands for two values of the document. A document is contaminated if the consistent windows of an alignment cover at
+least COVERAGE of the item's windows, so a question is caught with other numbers and names in it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolith.llm import common
@@ -25,6 +26,8 @@ WINDOW = 8
 #: Literal tokens a window has at least.
 LITERAL = 5
 COVERAGE = 0.5
+#: Tokens that distances of one alignment are apart at most, each from the next.
+NEAR = 8
 #: Benchmark windows that are sent to all tasks as a filter at most; beyond it every window is joined.
 FILTER_WINDOWS = 2_000_000
 CACHE = 200_000
@@ -91,38 +94,44 @@ class Templates:
             self.kind_inner[at] = NAME if name else 0
         return at
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, kind, number of the token) of each word that is not punctuation alone."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, kind, place of its first word) of each template token, and the numbers of the words, without those that are punctuation alone."""
         if len(self.known) > CACHE:
             self.clear()
         codes = np.fromiter(map(self.known.__getitem__, (text or "").split()), np.int64)
         if not len(codes):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), codes
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), codes, codes
         begins = np.concatenate(([True], self.ends[codes[:-1]]))
         hashes = np.where(begins, self.first[codes], self.inner[codes])
         kinds = np.where(begins, self.kind_first[codes], self.kind_inner[codes])
         kept = hashes != 0
         hashes, kinds, codes = hashes[kept], kinds[kept], codes[kept]
         units = self.unit[codes] & np.concatenate(([False], kinds[:-1] == NUM))
-        return np.where(units, np.uint64(self.marks["unit"]), hashes), np.where(units, np.int8(UNIT), kinds), codes
+        hashes, kinds = np.where(units, np.uint64(self.marks["unit"]), hashes), np.where(units, np.int8(UNIT), kinds)
+        first = np.flatnonzero(np.concatenate((kinds[:1] >= 0, (kinds[1:] == 0) | (kinds[1:] != kinds[:-1]))))
+        return hashes[first], kinds[first], first, codes
 
     def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list]:
         """(start, hash) of each window with enough literals, and the text's tokens."""
-        hashes, kinds, codes = self.tokens(text)
+        hashes, kinds, first, codes = self.tokens(text)
         n = len(hashes) - WINDOW + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), (kinds, codes)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), (kinds, first, codes)
         power, inverse = _powers_to(len(hashes) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])))
         window = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:n])
         literal = np.concatenate(([0], np.cumsum(kinds == 0)))
         start = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERAL)
-        return start, window[start], (kinds, codes)
+        return start, window[start], (kinds, first, codes)
 
     def slots(self, tokens, start: int) -> list[str]:
         """Values behind the placeholders of the window that starts there, with their places."""
-        kinds, codes = tokens
-        return [f"{k}:{self.values[codes[start + k]]}" for k in range(WINDOW) if kinds[start + k]]
+        kinds, first, codes = tokens
+        return [f"{k}:{self.run(first, codes, start + k)}" for k in range(WINDOW) if kinds[start + k]]
+
+    def run(self, first: np.ndarray, codes: np.ndarray, at: int) -> str:
+        """The words of a template token."""
+        return " ".join(self.values[c] for c in codes[first[at] : first[at + 1] if at + 1 < len(first) else None])
 
 
 def template_windows(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -156,6 +165,19 @@ def template_windows(texts: DataFrame, only: np.ndarray | None = None) -> DataFr
     return texts.mapInArrow(run, HIT)
 
 
+def found_windows(hits: DataFrame, alignment: str) -> DataFrame:
+    """doc_id, item_id, found: the item's windows that the consistent windows of each alignment, named by a column of hits, cover."""
+    keys = ["doc_id", "item_id", alignment]
+    # slot consistency: windows with a value of the item that stands for two values in the alignment do not count
+    bound = hits.select(*keys, "at", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    value = lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    bound = bound.select(*keys, "at", "item_at", value("s.item_slots").alias("item_value"), value("s.slots").alias("doc_value"))
+    clashing = bound.groupBy(*keys, "item_value").agg(F.countDistinct("doc_value").alias("values")).where("values > 1")
+    broken = bound.join(clashing, [*keys, "item_value"], "left_semi").select(*keys, "at", "item_at").distinct()
+    sound = hits.select(*keys, "at", "item_at").join(broken, [*keys, "at", "item_at"], "left_anti")
+    return sound.groupBy(*keys).agg(F.countDistinct("item_at").alias("found")).select("doc_id", "item_id", "found")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage of every document and item found in it.
 
@@ -171,14 +193,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     sizes = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
     hits = common.kept(template_windows(texts, only), "window_hits").join(item_windows, "window").withColumn("shift", F.col("at") - F.col("item_at"))
-    # slot consistency: windows whose values contradict the alignment's majority value of a place do not count
-    bound = hits.select("doc_id", "item_id", "shift", "item_at", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    value = lambda c: F.substring_index(c, ":", -1)
-    bound = bound.select("doc_id", "item_id", "shift", "item_at", value("s.item_slots").alias("item_value"), value("s.slots").alias("doc_value"))
-    clashing = bound.groupBy("doc_id", "item_id", "shift", "item_value").agg(F.countDistinct("doc_value").alias("values")).where("values > 1")
-    broken = bound.join(clashing, ["doc_id", "item_id", "shift", "item_value"], "left_semi").select("doc_id", "item_id", "shift", "item_at").distinct()
-    sound = hits.select("doc_id", "item_id", "shift", "item_at").distinct().join(broken, ["doc_id", "item_id", "shift", "item_at"], "left_anti")
-    counted = sound.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("found")).join(sizes, "item_id")
+    # an alignment is one shift, or a chain of shifts; the chain counts where it covers more
+    w = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    shifts = hits.select("doc_id", "item_id", "shift").distinct().withColumn("_new", F.coalesce((F.col("shift") - F.lag("shift").over(w) > NEAR).cast("int"), F.lit(0)))
+    chains = shifts.select("doc_id", "item_id", "shift", F.sum("_new").over(w).alias("chain"))
+    hits = common.kept(hits.join(chains, ["doc_id", "item_id", "shift"]), "aligned_hits")
+    counted = found_windows(hits, "shift").union(found_windows(hits, "chain")).join(sizes, "item_id")
     covered = counted.groupBy("doc_id", "item_id").agg(F.max(F.col("found") / F.col("n_windows")).alias("coverage"))
     return covered.where(F.col("coverage") >= COVERAGE)
 

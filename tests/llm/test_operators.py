@@ -335,6 +335,16 @@ def test_slots_must_be_consistent(spark):
     assert got[1] == 1.0 and got.get(2, 0) < 1.0
 
 
+def test_decontamination_of_moved_words(spark):
+    item = "when the old farmer in Paris sells his brown horses at the market each of them brings him much less money than before"
+    timed = "the train to town leaves the main hall at 9:30 each day and the bus there leaves the hall at 8:30 each day"
+    benchmark = spark.createDataFrame([(1, item), (2, timed)], "item_id long, text string")
+    rows = [(1, item.replace("at the", "right at the")), (2, item.replace("brown horses", "horses")), (3, item.replace("Paris", "New York")), (4, timed.replace("9:30", "7:15").replace("8:30", "6:15")), (5, item[:50])]
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(spark, rows), benchmark).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+    assert got[3, 1] == got[4, 2] == 1.0
+
+
 def test_template_windows_without_filter(spark):
     docs = docs_of(spark, [(1, "one two three four five six seven eight nine")])
     assert decontaminate.template_windows(docs).count() == 2
