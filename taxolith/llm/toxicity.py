@@ -4,7 +4,8 @@ A lexical transducer maps words to symbols: insult (with a weight learned from l
 report, clause end. Three small machines read the symbols: polarity (a negation holds for three words), report (from a
 verb of saying to the end of the clause) and address (a target seen in the clause). Their composition is one
 deterministic machine whose arcs carry the multiplier of an insult or a threat in that state. A clause scores the sum
-of weight times multiplier along its path; a document's score is logistic in its best clause, the sum of its clauses
+of weight times multiplier along its path; insults and threats before its first target wait for the clause's end: with
+a target they are addressed too, without one threats do not count. A document's score is logistic in its best clause, the sum of its clauses
 and their number.
 
 Training reads a bounded sample of labelled rows (at most SAMPLE): one half gives the lexicon (at most LEXICON
@@ -70,7 +71,7 @@ def composed() -> list[list[tuple[int, float]]]:
         for symbol in range(7):
             after = number[polarity(p, symbol), report(r, symbol), address(a, symbol)]
             factor = (FACTOR["negated"] if p else 1.0) * (FACTOR["reported"] if r else 1.0) * (FACTOR["addressed"] if a else 1.0)
-            row.append((after, factor if symbol == INSULT or (symbol == THREAT and a) else 0.0))
+            row.append((after, factor if symbol in (INSULT, THREAT) else 0.0))
         arcs.append(row)
     return arcs
 
@@ -101,8 +102,9 @@ class Lexicon(dict):
 
 def features(text: str | None, lexicon: Lexicon, arcs) -> tuple[float, float, float]:
     """Best clause, sum of clauses and number of scored clauses, damped by logarithms."""
-    best = total = clause = 0.0
+    best = total = clause = insults = threats = 0.0
     clauses = state = idle = 0
+    target = False
     for symbol, weight in map(lexicon.__getitem__, TOKEN.findall((text or "").lower())):
         if symbol == WORD:
             idle += 1  # only the reach of a negation sees how many plain words there were
@@ -112,10 +114,19 @@ def features(text: str | None, lexicon: Lexicon, arcs) -> tuple[float, float, fl
                 state = arcs[state][WORD][0]
             idle = 0
         state, factor = arcs[state][symbol]
-        if factor:
+        target |= symbol == TARGET
+        if factor and target:
             clause += factor * weight
-        if symbol == END and clause:
-            best, total, clauses, clause = max(best, clause), total + clause, clauses + 1, 0.0
+        elif symbol == INSULT:
+            insults += factor * weight
+        elif symbol == THREAT:
+            threats += factor * weight
+        elif symbol == END:
+            clause += (insults + threats) * FACTOR["addressed"] if target else insults
+            if clause:
+                best, total, clauses = max(best, clause), total + clause, clauses + 1
+            clause, insults, threats, target = 0.0, 0.0, 0.0, False
+    clause += (insults + threats) * FACTOR["addressed"] if target else insults
     if clause:
         best, total, clauses = max(best, clause), total + clause, clauses + 1
     return float(np.log1p(best)), float(np.log1p(total)), float(np.log1p(clauses))

@@ -406,3 +406,11 @@ def test_toxicity_grammar():
     assert score("i will kill you") == 0 < score("you i will kill")
     assert score("morons") > 0 == score("more")
     assert toxicity.features("idiot. idiot", lexicon, arcs)[2] > toxicity.features("idiot idiot", lexicon, arcs)[2]
+
+
+def test_toxicity_target_behind():
+    lexicon, arcs = toxicity.Lexicon({"=idiot": 2.0}), toxicity.composed()
+    score = lambda t: toxicity.features(t, lexicon, arcs)[0]
+    assert score("i will kill you") == score("you i will kill") > score("i will not kill you") > 0
+    assert score("i will kill. you") == score("i will kill time") == 0
+    assert score("an idiot are you") == score("you are an idiot") > score("an idiot")
