@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has no more rows than this; beyond it, it is shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; where it is unset, as in tests, one of our own."""
+    """The folder all executors share, as spark.checkpoint.dir names it; where it is unset, a local session takes one of its own, a cluster's must set it."""
     conf = spark.sparkContext.getConf()
     if found := conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="taxolith-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='taxolith-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -38,7 +40,15 @@ def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_folder(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.kept_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what kept() wrote for tables that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, t.kept_at)
 
 
 def removed(spark: SparkSession, path: str) -> None:
