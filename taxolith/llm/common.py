@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,9 +47,16 @@ def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete what kept() wrote for tables that nothing reads any more."""
+    """Delete what kept() wrote for tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
     for t in tables:
         removed(t.sparkSession, t.kept_at)
+    collected(tables[0].sparkSession)
+
+
+def collected(spark: SparkSession) -> None:
+    """Spark drops shuffle files once the driver's garbage is collected: after a large job that is done at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def removed(spark: SparkSession, path: str) -> None:
