@@ -79,3 +79,9 @@ def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def no_clash(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: other columns, whatever their names, never meet our own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns of whatever names, whose identifier is not in the written table ids(id)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(checked(ids), "id", "left_anti").select("row.*")

@@ -192,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     only = np.sort(np.array([r.window for r in known.collect()], np.int64).view(np.uint64)) if n <= FILTER_WINDOWS else None
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     sizes = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    hits = common.kept(template_windows(texts, only), "window_hits").join(item_windows, "window").withColumn("shift", F.col("at") - F.col("item_at"))
+    hits = common.kept(template_windows(texts, only), "window_hits").join(common.checked(item_windows), "window").withColumn("shift", F.col("at") - F.col("item_at"))
     # an alignment is one shift, or a chain of shifts; the chain counts where it covers more
     w = Window.partitionBy("doc_id", "item_id").orderBy("shift")
     shifts = hits.select("doc_id", "item_id", "shift").distinct().withColumn("_new", F.coalesce((F.col("shift") - F.lag("shift").over(w) > NEAR).cast("int"), F.lit(0)))
@@ -205,8 +205,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all their columns, in which no item is found; rows without an identifier stay."""
-    found = common.kept(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_found_id")).distinct(), "contaminated")
-    return docs.join(common.checked(found), F.col(f"`{id_col}`").cast("long") == F.col("_found_id"), "left_anti")
+    found = common.kept(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("id")).distinct(), "contaminated")
+    return common.without(docs, id_col, found)
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

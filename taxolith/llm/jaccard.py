@@ -102,6 +102,10 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def first_digest(grams: np.ndarray) -> int:
+    return int(np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)[0])
+
+
 def fragmented(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, k1, k2 (digest of the set), keys, cells (n-grams per cell), of every row of docs(doc_id, text)."""
 
@@ -172,7 +176,7 @@ def block_candidates(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """(a, b) that connect what plausible() connects among the rows of each (cluster, i, j)."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for (_, i, j), rows in pdf.groupby(["cluster", "i", "j"], sort=False):
-        rows = rows.sort_values(["block", "node"])
+        rows = rows.drop_duplicates("node").sort_values(["block", "node"])
         left = None if i == j else int((rows["block"] == i).sum())
         if left is None or 0 < left < len(rows):
             linked = plausible(np.stack([np.frombuffer(c, np.int32) for c in rows["cells"]]), left, num, den)
@@ -198,7 +202,7 @@ def block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links among the rows of each (cluster, i, j): all pairs of a block with i = j, else pairs across."""
     nodes, roots, counts = [], [], []
     for (_, i, j), rows in pdf.groupby(["cluster", "i", "j"], sort=False):
-        rows = rows.sort_values(["block", "node"])
+        rows = rows.drop_duplicates("node").sort_values(["block", "node"])
         sets = [np.asarray(s, np.int64) for s in rows["grams"]]
         size, node, copies = np.array([len(s) for s in sets]), rows["node"].to_numpy(), rows["copies"].to_numpy()
         left = None if i == j else int((rows["block"] == i).sum())
@@ -228,7 +232,8 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
 
     Two documents link when den * intersection >= num * union of their sets of n-word shingles. component_id is the
     smallest doc_id reachable by links, itself included; n_links counts the linked rows. Null and blank texts have no
-    shingles and link with nothing, not with each other either. Rows that repeat an identifier are one document: linked.
+    shingles and link with nothing, not with each other either. Rows that repeat an identifier and a text are linked as
+    copies are; texts that share an identifier are told apart. Very long texts are taken whole, other columns ignored.
     Rows without an identifier link with equal sets only; their component_id is the smallest identifier there, or null. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -238,39 +243,47 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
 
     # classes of equal sets; the smallest identifier stands for each
     classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    classes = common.kept(classes.withColumn("node", F.coalesce("min_id", "k1")), "classes")
-    repeated = classes.where("copies > 1").select("k1", "k2", "node")
-    copies = filled.join(common.checked(repeated), ["k1", "k2"]).where("not (doc_id <=> node)").select("doc_id", "k1").distinct()
+    classes = common.kept(classes.withColumn("node", F.col("k1")), "classes")
+    repeated = classes.where("copies > 1").select("k1", "k2", "min_id")
+    copies = filled.join(common.checked(repeated), ["k1", "k2"]).where("not (doc_id <=> min_id)").select("doc_id", "k1").distinct()
     copies = common.kept(copies, "copies")
 
     # candidates: sets that sent the same number for the same fragment
     sent = filled.join(common.checked(copies), ["doc_id", "k1"], "left_anti").select(F.explode("keys").alias("key"), F.col("k1").alias("sid"))
     star = sent.withColumn("first", F.min("sid").over(Window.partitionBy("key"))).where("first <> sid").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     clusters = connected_components(star)
+    common.discard(copies)
 
     # counts per cell refine the clusters before any set is moved: what can't reach the threshold is cut
-    wide = classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "k1", "cluster", "copies", "n_shingles")
+    wide = classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "min_id", "cluster", "copies", "n_shingles")
     wide = common.kept(placed_in_blocks(wide, 2 * BLOCK_DOCS, 1 << 40), "wide_clusters")
-    cells = filled.select(F.col("doc_id").alias("node"), "k1", "cells").join(common.checked(wide), ["node", "k1"]).dropDuplicates(["node", "k1"])
+    # an identifier may stand for several texts: the set's number tells them apart
+    cells = filled.select("doc_id", F.col("k1").alias("node"), "cells").join(common.checked(wide), "node").where("doc_id <=> min_id").dropDuplicates(["node"])
     bins = wide.count() // BLOCK_DOCS + 4
     fine = dealt(cells.select("node", "cluster", "blocks", "block", "cells"), bins).groupBy("bin").applyInPandas(lambda pdf: block_candidates(pdf, num, den), "a long, b long")
     clusters = connected_components(fine).withColumnRenamed("root", "cluster")
 
+    common.collected(spark)
+
     # clusters to blocks
-    members = wide.select("node", "copies", "n_shingles").join(clusters, "node")
+    members = wide.select("node", "min_id", "copies", "n_shingles").join(clusters, "node")
     placed = common.kept(placed_in_blocks(members, BLOCK_DOCS, BLOCK_GRAMS), "clusters")
     bins = int(placed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] // BLOCK_GRAMS) * 2 + 4
-    chosen = texts.join(common.checked(placed), texts.doc_id == placed.node)
+    common.discard(wide)
+    chosen = texts.join(common.checked(placed), texts.doc_id == placed.min_id)
 
     def sets(batches):
         for b in batches:
-            flat = [signed(shingle_set(t, n)) for t in b.column("text").to_pylist()]
+            found = [shingle_set(t, n) for t in b.column("text").to_pylist()]
+            own = pa.array([first_digest(g) == k for g, k in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
+            flat, b = [signed(g) for g, o in zip(found, own.to_pylist(), strict=True) if o], b.filter(own)
             ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
             values = pa.array(np.concatenate([*flat, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "cluster", "copies", "blocks", "block")], pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "cluster", "copies", "blocks", "block", "grams"])
 
     with_sets = chosen.select("node", "cluster", "copies", "blocks", "block", "text").mapInArrow(sets, "node long, cluster long, copies long, blocks long, block long, grams array<long>")
     links = common.kept(dealt(with_sets, bins).groupBy("bin").applyInPandas(lambda pdf: block_links(pdf, num, den), "node long, root long, links long"), "links")
+    common.discard(placed)
     components = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
 
@@ -279,6 +292,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     found = found.select("k1", "k2", "min_id", F.coalesce("comp", "node").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     smallest = found.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     resolved = common.kept(found.join(smallest, "comp").select("k1", "k2", "component_id", "n_links"), "resolved")
+    common.discard(classes, links)
     none = table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return filled.select("doc_id", "n_shingles", "k1", "k2").join(resolved, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id", "n_links").unionByName(none)
 

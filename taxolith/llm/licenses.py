@@ -8,6 +8,7 @@ suppressed. Base phrases are found apart from the rules and always stay.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from dataclasses import dataclass
@@ -212,19 +213,41 @@ def detections(words: list[bytes], present) -> list[tuple[int, int, Rule]]:
     if not gated:
         return []
     line = b" ".join(words).decode("utf-8", "replace")
+    begins = [m.start() for m in re.finditer(r"(?:^|(?<= ))", line)]
     found = []
     for order, rule in enumerate(gated):
         for m in rule.pattern.finditer(line):
-            start = line.count(" ", 0, m.start())
-            found.append((-rule.priority, -(m.end() - m.start()), m.start(), order, start, start + line.count(" ", m.start(), m.end()) + 1, rule))
+            start = bisect.bisect_right(begins, m.start()) - 1
+            found.append((-rule.priority, -(m.end() - m.start()), m.start(), order, start, bisect.bisect_left(begins, m.end()), rule))
     found.sort(key=lambda x: x[:4])
-    taken: list[tuple[int, int, Rule]] = []
+    taken, reach = [], Reach(len(words))
     for *_, start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in taken):
+        if reach.upto(start) < end:
             taken.append((start, end, rule))
+            reach.add(start, end)
     return taken
 
 
+class Reach:
+    """The largest end of all intervals that start at or before a place; both steps take the logarithm of the size."""
+
+    def __init__(self, size: int):
+        self.ends = [0] * (size + 1)
+
+    def add(self, start: int, end: int) -> None:
+        at = start + 1
+        while at < len(self.ends):
+            self.ends[at] = max(self.ends[at], end)
+            at += at & -at
+
+    def upto(self, start: int) -> int:
+        at, best = start + 1, 0
+        while at:
+            best = max(best, self.ends[at])
+            at &= at - 1
+        return best
+
+
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, and the detections as (label, first, end)."""
     words = words_of(text)
@@ -244,7 +267,13 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """A row per row of docs; null and empty texts have no words, no labels and the score 0; identifiers pass through."""
+    """A row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Null and empty texts have no words, no labels and the score 0. Identifiers pass through, null and repeated ones too;
+    rows that repeat give a row each. Very long texts are scanned whole. An empty table gives no rows; other columns,
+    whatever their names, are ignored. Of detections that tie in priority and length the first place wins, then the
+    first rule.
+    """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 

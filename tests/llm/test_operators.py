@@ -83,6 +83,34 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_join(docs_of(spark, [])).collect() == []
 
 
+def test_jaccard_identifiers_with_two_texts(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    two = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (3, two + " y")]
+    got = sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(docs_of(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2)]
+
+
+def test_licenses_odd_rows(spark):
+    rows = licenses.license_scan(docs_of(spark, ODD, True)).collect()
+    assert len(rows) == len(ODD) and sum(r.doc_id is None for r in rows) == 1
+    assert licenses.license_scan(docs_of(spark, [])).count() == 0
+
+
+def test_suppression_by_brute_force():
+    rnd = random.Random(3)
+    for _ in range(300):
+        reach, taken = licenses.Reach(20), []
+        for _ in range(12):
+            s = rnd.randrange(19)
+            e = rnd.randint(s + 1, 20)
+            inside = any(a <= s and e <= b for a, b in taken)
+            assert (reach.upto(s) >= e) == inside
+            if not inside:
+                taken.append((s, e))
+                reach.add(s, e)
+
+
 def test_fragment_keys_meet():
     rnd = random.Random(5)
     import numpy as np
