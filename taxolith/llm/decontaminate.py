@@ -26,6 +26,8 @@ WINDOW = 8
 #: Literal tokens a window has at least.
 LITERAL = 5
 COVERAGE = 0.5
+#: An item too short for a window is one window as long as itself, if it has so many tokens and literals at least.
+SHORTEST, SHORT_LITERAL = 4, 3
 #: Tokens that distances of one alignment are apart at most, each from the next.
 NEAR = 8
 #: Benchmark windows that are sent to all tasks as a filter at most; beyond it every window is joined.
@@ -37,7 +39,7 @@ UNITS = frozenset("km m cm mm mi ft in kg g mg lb oz l ml h hr hrs hour hours mi
 NUMBER = re.compile(r"\d[\d.,:/]*$")
 STRIP = "\"'“”‘’«»()[]{}<>*_~`#&|$%^=+\\/!?.,;:¡¿…-–—"
 NUM, NAME, UNIT = 1, 2, 3
-HIT = "doc_id long, at long, window long, slots array<string>"
+HIT = "doc_id long, at long, window long, slots array<string>, width int"
 
 
 class Numbers(dict):
@@ -111,56 +113,67 @@ class Templates:
         first = np.flatnonzero(np.concatenate((kinds[:1] >= 0, (kinds[1:] == 0) | (kinds[1:] != kinds[:-1]))))
         return hashes[first], kinds[first], first, codes
 
-    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list]:
-        """(start, hash) of each window with enough literals, and the text's tokens."""
-        hashes, kinds, first, codes = self.tokens(text)
-        n = len(hashes) - WINDOW + 1
+    def windows(self, tokens, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of each window of so many tokens with enough literals."""
+        hashes, kinds, *_ = tokens
+        n = len(hashes) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), (kinds, first, codes)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         power, inverse = _powers_to(len(hashes) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])))
-        window = mix((sums[WINDOW:] - sums[:-WINDOW]) * inverse[:n])
+        window = mix((sums[width:] - sums[:-width]) * inverse[:n])
         literal = np.concatenate(([0], np.cumsum(kinds == 0)))
-        start = np.flatnonzero(literal[WINDOW:] - literal[:-WINDOW] >= LITERAL)
-        return start, window[start], (kinds, first, codes)
+        start = np.flatnonzero(literal[width:] - literal[:-width] >= literals)
+        return start, window[start]
 
-    def slots(self, tokens, start: int) -> list[str]:
+    def slots(self, tokens, start: int, width: int) -> list[str]:
         """Values behind the placeholders of the window that starts there, with their places."""
-        kinds, first, codes = tokens
-        return [f"{k}:{self.run(first, codes, start + k)}" for k in range(WINDOW) if kinds[start + k]]
+        _, kinds, first, codes = tokens
+        return [f"{k}:{self.run(first, codes, start + k)}" for k in range(width) if kinds[start + k]]
 
     def run(self, first: np.ndarray, codes: np.ndarray, at: int) -> str:
         """The words of a template token."""
         return " ".join(self.values[c] for c in codes[first[at] : first[at + 1] if at + 1 < len(first) else None])
 
 
-def template_windows(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """doc_id, at, window, slots of every window of texts(doc_id, text), or of those whose hash is in the sorted array only."""
+def template_windows(texts: DataFrame, only: np.ndarray | None = None, short: tuple[int, ...] | None = None) -> DataFrame:
+    """doc_id, at, window, slots, width of every window of texts(doc_id, text), or of those whose hash is in the sorted array only.
+
+    Besides windows of WINDOW tokens, those of the widths in short; without short texts are items: one without a
+    window is one itself.
+    """
+
+    def found(t, tokens):
+        start, window = t.windows(tokens, WINDOW, LITERAL)
+        yield WINDOW, start, window
+        n = len(tokens[0])
+        widths = short if short is not None else (n,) if not len(start) and n >= SHORTEST else ()
+        for width in widths:
+            yield width, *t.windows(tokens, width, SHORT_LITERAL)
 
     def run(batches):
         t = Templates()
         for b in batches:
-            ids, ats, hashes, slots = [], [], [], []
+            rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                start, window, tokens = t.windows(text)
-                if only is not None and len(window):
-                    if not len(only):
-                        continue
-                    place = np.searchsorted(only, window)
-                    place[place == len(only)] = 0
-                    hit = only[place] == window
-                    start, window = start[hit], window[hit]
-                ids += [doc_id] * len(start)
-                ats += start.tolist()
-                hashes += window.view(np.int64).tolist()
-                slots += [t.slots(tokens, s) for s in start.tolist()]
-                if len(ids) > 20_000:
-                    yield batch(ids, ats, hashes, slots)
-                    ids, ats, hashes, slots = [], [], [], []
-            yield batch(ids, ats, hashes, slots)
-
-    def batch(ids, ats, hashes, slots):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], ["doc_id", "at", "window", "slots"])
+                tokens = t.tokens(text)
+                for width, start, window in found(t, tokens):
+                    if only is not None and len(window):
+                        if not len(only):
+                            continue
+                        place = np.searchsorted(only, window)
+                        place[place == len(only)] = 0
+                        hit = only[place] == window
+                        start, window = start[hit], window[hit]
+                    rows += [(doc_id, s, w, t.slots(tokens, s, width), width) for s, w in zip(start.tolist(), window.view(np.int64).tolist(), strict=True)]
+                if len(rows) > 20_000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
+
+    def batch(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "at", "window", "slots", "width"])
 
     return texts.mapInArrow(run, HIT)
 
@@ -181,18 +194,20 @@ def found_windows(hits: DataFrame, alignment: str) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage of every document and item found in it.
 
-    An item of fewer than WINDOW template tokens, or without a window of enough literals, can't be found. Null and empty
+    An item without a window of enough literals is found where its whole template stands; one of fewer than SHORTEST
+    tokens or SHORT_LITERAL literals can't be found. Null and empty
     texts match nothing; rows without an identifier are not reported; rows that repeat one are one document. Without
     items or documents the result is empty.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     item_windows = common.kept(template_windows(items).withColumnsRenamed({"doc_id": "item_id", "at": "item_at", "slots": "item_slots"}), "item_windows")
+    short = tuple(sorted(r.width for r in item_windows.where(F.col("width") != WINDOW).select("width").distinct().collect()))
     known = item_windows.select("window").distinct()
     n = known.count()
     only = np.sort(np.array([r.window for r in known.collect()], np.int64).view(np.uint64)) if n <= FILTER_WINDOWS else None
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     sizes = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    hits = common.kept(template_windows(texts, only), "window_hits").join(common.checked(item_windows), "window").withColumn("shift", F.col("at") - F.col("item_at"))
+    hits = common.kept(template_windows(texts, only, short), "window_hits").drop("width").join(common.checked(item_windows.drop("width")), "window").withColumn("shift", F.col("at") - F.col("item_at"))
     # an alignment is one shift, or a chain of shifts; the chain counts where it covers more
     w = Window.partitionBy("doc_id", "item_id").orderBy("shift")
     shifts = hits.select("doc_id", "item_id", "shift").distinct().withColumn("_new", F.coalesce((F.col("shift") - F.lag("shift").over(w) > NEAR).cast("int"), F.lit(0)))

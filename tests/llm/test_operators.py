@@ -374,6 +374,38 @@ def test_decontamination_of_moved_words(spark):
 def test_template_windows_without_filter(spark):
     docs = docs_of(spark, [(1, "one two three four five six seven eight nine")])
     assert decontaminate.template_windows(docs).count() == 2
+    assert decontaminate.template_windows(docs, short=(5, 6)).count() == 2 + 5 + 4
+
+
+def test_short_items(spark):
+    benchmark = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Too short")], "item_id long, text string")
+    rows = [(1, "He asked: what is the capital of Spain? Nobody knew."), (2, "What is the capital here"), (3, "too short a text to say")]
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(spark, rows), benchmark).collect()}
+    assert got == {(1, 1): 1.0}
+
+
+def test_decontamination_by_brute_force(spark):
+    """Without placeholders an item is found where enough of its windows stand at one shift."""
+    rnd = random.Random(12)
+    items = [(i, [rnd.choice(WORDS) for _ in range(rnd.randint(10, 30))]) for i in range(12)]
+    docs = []
+    for d in range(60):
+        words = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 20))]
+        _, item = rnd.choice(items)
+        a = rnd.randrange(len(item))
+        docs.append((d, words + item[a : a + rnd.randint(4, 30)] + [rnd.choice(WORDS)]))
+    w = decontaminate.WINDOW
+    windows = lambda t: [tuple(t[k : k + w]) for k in range(len(t) - w + 1)]
+    expect = {}
+    for d, text in docs:
+        for i, item in items:
+            own = windows(item)
+            hits = {k for k, x in enumerate(own) if x in set(windows(text))}
+            if len(hits) / len(own) >= decontaminate.COVERAGE:
+                expect[d, i] = len(hits) / len(own)
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(spark, [(d, " ".join(t)) for d, t in docs]), benchmark).collect()}
+    assert expect and got == pytest.approx(expect)
 
 
 def labelled(spark, bad, good, n=400):
