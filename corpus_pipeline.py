@@ -13,26 +13,29 @@ from taxolith.llm import common, decontaminate, jaccard, line_dedup, pieces, qua
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier (10): documents it rejects go."""
+    """Quality classifier (10): documents it rejects go; null and empty texts are scored as texts without characters."""
     model = quality.fit(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
 def single_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup (6): of each group of lines one stays, where it occurs first; a document keeps its row."""
+    """Line dedup (6): of each group of lines one stays, where it occurs first; a document keeps its row, a null text stays null."""
     after = line_dedup.line_dedup(docs)
     return after.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else after
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (1), five words and 0.8: the document with the smallest identifier of each group stays."""
+    """N-gram Jaccard join (1), five words and 0.8: the document with the smallest identifier of each group stays.
+
+    Documents without words, with a null text or without an identifier link with nothing and stay.
+    """
     joined = jaccard.jaccard_join(docs, n=5, num=80, den=100)
-    gone = common.kept(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "near_duplicates")
-    return docs.join(common.checked(gone), docs.doc_id == F.col("_gone_id"), "left_anti")
+    gone = common.kept(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "near_duplicates")
+    return common.without(docs, "doc_id", gone)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (9): documents that hold an item go."""
+    """Benchmark decontamination (9): documents that hold an item go; null and empty texts and rows without an identifier stay."""
     return decontaminate.decontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
