@@ -34,7 +34,7 @@ def lenient(text: Column) -> Column:
 
 def header_key(name: str) -> str:
     """A header's name as aliases are looked up: NFKC, folded, without blanks, dots, dashes and underscores."""
-    return "".join(c for c in unicodedata.normalize("NFKC", name).casefold() if not (c.isspace() or c in ".-_°"))
+    return "".join(c for c in unicodedata.normalize("NFKC", name).casefold() if not (c.isspace() or c in ".-_"))
 
 
 def word_set(text: Column) -> Column:
@@ -67,6 +67,17 @@ def row_id(*columns: Column, size: int = 12) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *columns), 256), 1, size)
 
 
+def line_id(position: Column, *cells: Column, size: int = 16) -> Column:
+    """First hex digits of SHA-256 over the compact JSON list of a line's position and cells; null cells are blank."""
+    rest = F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in cells]))
+    return F.substring(F.sha2(F.concat(F.lit("["), position.cast("string"), F.lit(","), F.substring(rest, 2, 1 << 30)), 256), 1, size)
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A token for every four characters begun."""
+    return F.ceil(F.length(text) / 4.0)
+
+
 def parsed_number(text: Column) -> Column:
     """A finite number, or null."""
     value = F.trim(text).try_cast("double")

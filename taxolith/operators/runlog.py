@@ -45,9 +45,31 @@ def cached(requests: DataFrame, recorded: DataFrame, key: str = "request_hash")
     return occurrence(requests, [key], ["ord"]).join(r, [key, "occ"], "left")
 
 
-def failure_kind(status: Column, retry_after: Column) -> Column:
-    """throttled, server, client, timeout or null."""
-    return F.when((status == 429) | ((status == 529) & retry_after.isNotNull()), "throttled").when(status >= 500, "server").when(status == 408, "timeout").when(status >= 400, "client")
+# How a call may end, in the order of the reference's list; all but the first are failures named so.
+STATUSES = ("ok", "timeout", "rate_limited", "overloaded", "api_error", "truncated", "malformed", "refusal")
+CONTENT = ("ok", "truncated", "malformed", "refusal")
+TRANSPORT = ("timeout", "rate_limited", "overloaded")
+RETRYABLE_HTTP = (408, 409)
+
+
+def failure_kind(status: Column, replay_miss: Column) -> Column:
+    """A replay miss comes before the status; null for a call that went well."""
+    return F.when(replay_miss, "replay_miss").when(status.isin(*STATUSES[1:]), status)
+
+
+def retryable(status: Column, replay_miss: Column, http: Column, should_retry: Column) -> Column:
+    """Never for content and replay misses; else as the server asks, then transport failures, those without a code, and some codes."""
+    code = http.isin(*RETRYABLE_HTTP) | http.between(500, 599)
+    return F.when(replay_miss | status.isin(*CONTENT), False).when(should_retry.isNotNull(), should_retry).when(status.isin(*TRANSPORT) | http.isNull(), True).otherwise(code)
+
+
+def exhausted(calls: DataFrame, batch: str, at_ms: str, most: int = 6, in_flight_ms: int = 90_000) -> DataFrame:
+    """batch, exhausted: so many calls, or so long from the first to the last."""
+    return calls.groupBy(batch).agg(((F.count("*") >= most) | (F.max(at_ms) - F.min(at_ms) >= in_flight_ms)).alias("exhausted"))
+
+
+def budget_cap(lines: Column, per_hundred: float, floor: float) -> Column:
+    return F.greatest(lines * per_hundred / 100, F.lit(floor))
 
 
 def breaker(calls: DataFrame, group: list[str], limit: int = 10) -> DataFrame:

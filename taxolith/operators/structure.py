@@ -14,8 +14,9 @@ def blank(name: str) -> Column:
 
 def classified(rows: DataFrame, header_patterns: list[str] = ()) -> DataFrame:
     """rows with kind: empty_row, item, header or header_unconfirmed; a header's code is a strict prefix of the next code below."""
-    below = Window.partitionBy("file").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    next_code = F.first(F.when(~blank("code"), F.trim("code")), ignorenulls=True).over(below)
+    # read upwards, the nearest code below is the last one seen: a running frame, not one taken anew for every row
+    below = Window.partitionBy("file").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
+    next_code = F.last(F.when(~blank("code"), F.trim("code")), ignorenulls=True).over(below)
     named = F.lit(False)
     for p in header_patterns:
         named = named | F.coalesce(F.col("text"), F.lit("")).rlike(f"^(?:{p})$")

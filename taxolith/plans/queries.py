@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes, stats, text
-from taxolith.operators import checks, decide, lineage, replay, runlog, sample, score, select, similarity, structure, taxonomy, votes
+from taxolith.operators import checks, decide, levels, lineage, replay, runlog, sample, score, select, similarity, structure, taxonomy, votes
 from taxolith.plans.registry import ORACLES, QUERIES
 
 
@@ -148,33 +148,32 @@ def phrase_theta_join(spark, sf_dir):
 
 ROWS = """
 WITH rows_ AS (
-  SELECT 'boq' AS file, (n * 1000000 + r)::bigint AS position, code, text, unit, qty FROM (
+  SELECT n::varchar AS file, (n::bigint * 1000000000 + r)::bigint AS position, code, text, unit, qty FROM (
     SELECT r_regionkey AS n, 0 AS r, (r_regionkey + 1)::varchar AS code, r_name AS text, '' AS unit, '' AS qty FROM region
-    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000, (n_regionkey + 1) || '.' || (n_nationkey + 1), n_name, '', '' FROM nation
-    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000 + 1 + c_custkey // 25, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || (c_custkey + 1) END, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END,
+    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000000, (n_regionkey + 1) || '.' || (n_nationkey + 1), n_name, '', '' FROM nation
+    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000000 + 1 + c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || (c_custkey + 1) END, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END,
       CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN '' ELSE 'm' END, CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN '' ELSE '1' END
-    FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 1500)),
-uniq AS (SELECT file, position, min(code) AS code, min(text) AS text, min(unit) AS unit, min(qty) AS qty FROM rows_ GROUP BY 1, 2),
-nx AS (SELECT *, first_value(nullif(code, '') IGNORE NULLS) OVER (ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM uniq),
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+nx AS (SELECT *, first_value(nullif(code, '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM rows_),
 kinds AS (SELECT file, position, code, text, unit, qty, CASE WHEN code = '' AND text = '' AND unit = '' AND qty = '' THEN 'empty_row' WHEN unit <> '' OR qty <> '' THEN 'item' WHEN code = '' THEN 'header_unconfirmed'
   WHEN starts_with(coalesce(nxt, ''), code || '.') THEN 'header' ELSE 'header_unconfirmed' END AS kind FROM nx)
 """
 
 
 def rows_of(spark, sf_dir) -> DataFrame:
-    """Regions, nations and customers as one file with hierarchical codes."""
+    """Regions, nations and customers with hierarchical codes, a file per region."""
     region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
     none = F.lit("")
     code = lambda *c: F.concat_ws(".", *[(F.col(x) + 1).cast("string") for x in c])
     a = region.select(F.col("r_regionkey").alias("n"), F.lit(0).cast("long").alias("r"), code("r_regionkey").alias("code"), F.col("r_name").alias("text"), none.alias("unit"), none.alias("qty"))
-    b = nation.select("n_regionkey", ((F.col("n_nationkey") + 1) * 10000).cast("long"), code("n_regionkey", "n_nationkey"), "n_name", none, none)
+    b = nation.select("n_regionkey", ((F.col("n_nationkey") + 1) * 10000000).cast("long"), code("n_regionkey", "n_nationkey"), "n_name", none, none)
     k = F.col("c_custkey")
-    c = customer.where(k < 1500).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "n_regionkey", ((F.col("n_nationkey") + 1) * 10000 + 1 + F.expr("c_custkey div 25")).cast("long"), F.when(k % 11 == 0, "").otherwise(code("n_regionkey", "n_nationkey", "c_custkey")),
+    c = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "n_regionkey", ((F.col("n_nationkey") + 1) * 10000000 + 1 + k).cast("long"), F.when(k % 11 == 0, "").otherwise(code("n_regionkey", "n_nationkey", "c_custkey")),
         F.when(k % 13 == 0, "").otherwise(F.col("c_name")), F.when((k % 11 == 0) | (k % 13 == 0), "").otherwise("m"), F.when((k % 11 == 0) | (k % 13 == 0), "").otherwise("1"),
     )
-    rows = a.union(b).union(c).select(F.lit("boq").alias("file"), (F.col("n") * 1000000 + F.col("r")).cast("long").alias("position"), "code", "text", "unit", "qty")
-    return rows.groupBy("file", "position").agg(*[F.min(x).alias(x) for x in ("code", "text", "unit", "qty")])
+    n = F.col("n").cast("long")
+    return a.union(b).union(c).select(n.cast("string").alias("file"), (n * 1000000000 + F.col("r")).alias("position"), "code", "text", "unit", "qty")
 
 
 @query(ROWS + "SELECT position, kind FROM kinds")
@@ -182,9 +181,9 @@ def classify_rows(spark, sf_dir):
     return structure.classified(rows_of(spark, sf_dir)).select("position", "kind")
 
 
-@query(ROWS + """, h AS (SELECT position, code, text FROM kinds WHERE kind = 'header'),
-e AS (SELECT a.position, a.code, a.text, (SELECT min(b.position) FROM h b WHERE b.position > a.position AND NOT starts_with(b.code, a.code || '.')) AS until FROM h a)
-SELECT k.position, coalesce((SELECT string_agg(trim(e.code || ' ' || e.text), ' > ' ORDER BY e.position) FROM e WHERE e.position < k.position AND (e.until IS NULL OR k.position < e.until) AND starts_with(k.code, e.code || '.')), '') AS path FROM kinds k""")
+@query(ROWS + """, h AS (SELECT file, position, code, text FROM kinds WHERE kind = 'header'),
+e AS (SELECT a.file, a.position, a.code, a.text, (SELECT min(b.position) FROM h b WHERE b.file = a.file AND b.position > a.position AND NOT starts_with(b.code, a.code || '.')) AS until FROM h a)
+SELECT k.position, coalesce((SELECT string_agg(trim(e.code || ' ' || e.text), ' > ' ORDER BY e.position) FROM e WHERE e.file = k.file AND e.position < k.position AND (e.until IS NULL OR k.position < e.until) AND starts_with(k.code, e.code || '.')), '') AS path FROM kinds k""")
 def section_paths(spark, sf_dir):
     paths = structure.section_paths(structure.classified(rows_of(spark, sf_dir)))
     return paths.select("position", text.path_text(F.col("path")).alias("path"))
@@ -436,10 +435,31 @@ def budget_admission(spark, sf_dir):
     return out.select("event_id", F.round("spent_before", 4).alias("spent_before"), "admitted")
 
 
-@query("""SELECT event_id, CASE WHEN s = 429 OR (s = 529 AND event_id % 2 = 0) THEN 'throttled' WHEN s >= 500 THEN 'server' WHEN s = 408 THEN 'timeout' WHEN s >= 400 THEN 'client' END AS kind FROM (SELECT event_id, (list_value(200, 429, 529, 500, 408, 404))[(event_id % 6 + 1)::int] AS s FROM events)""")
+CALL_STATUS = """SELECT event_id, user_id, event_id % 23 = 0 AS replay_miss, (list_value('ok', 'timeout', 'rate_limited', 'overloaded', 'api_error', 'truncated', 'malformed', 'refusal'))[(event_id % 8 + 1)::int] AS status,
+  (list_value(NULL, 400, 404, 408, 409, 500, 503))[(event_id % 7 + 1)::int] AS http, (list_value(NULL, NULL, NULL, true, false))[(event_id % 5 + 1)::int] AS should_retry FROM events"""
+
+
+def statuses_of(spark, sf_dir) -> DataFrame:
+    """events as results of calls: status, replay_miss, http, should_retry."""
+    at = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 23 == 0).alias("replay_miss"), at(runlog.STATUSES, 8).alias("status"), at((None, 400, 404, 408, 409, 500, 503), 7).alias("http"), at((None, None, None, True, False), 5).alias("should_retry"))
+
+
+@query("SELECT event_id, CASE WHEN replay_miss THEN 'replay_miss' WHEN status <> 'ok' THEN status END AS kind FROM (" + CALL_STATUS + ")")
 def failure_kinds(spark, sf_dir):
-    s = F.get(F.array(*map(F.lit, (200, 429, 529, 500, 408, 404))), (F.col("event_id") % 6).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", runlog.failure_kind(s, F.when(F.col("event_id") % 2 == 0, 1)).alias("kind"))
+    return statuses_of(spark, sf_dir).select("event_id", runlog.failure_kind(F.col("status"), F.col("replay_miss")).alias("kind"))
+
+
+@query("""SELECT event_id, CASE WHEN replay_miss OR status IN ('ok', 'truncated', 'malformed', 'refusal') THEN false WHEN should_retry IS NOT NULL THEN should_retry
+  WHEN status IN ('timeout', 'rate_limited', 'overloaded') OR http IS NULL THEN true ELSE http IN (408, 409) OR http BETWEEN 500 AND 599 END AS retry FROM (""" + CALL_STATUS + ")")
+def retryable_calls(spark, sf_dir):
+    return statuses_of(spark, sf_dir).select("event_id", runlog.retryable(F.col("status"), F.col("replay_miss"), F.col("http"), F.col("should_retry")).alias("retry"))
+
+
+@query("SELECT user_id, count(*) >= 6 OR max(event_id * 1000 - first) >= 90000 AS exhausted FROM (SELECT *, min(event_id * 1000) OVER (PARTITION BY user_id) AS first FROM (" + CALL_STATUS + ")) GROUP BY 1")
+def exhausted_batches(spark, sf_dir):
+    calls = statuses_of(spark, sf_dir).select(F.col("user_id").alias("batch"), (F.col("event_id") * 1000).alias("at_ms"))
+    return runlog.exhausted(calls, "batch", "at_ms").select(F.col("batch").alias("user_id"), "exhausted")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'rescued' ELSE c_mktsegment END AS answer FROM customer""")
@@ -472,7 +492,7 @@ def bootstrap_band(spark, sf_dir):
 
 
 GRAMS = r"""
-WITH texts AS (SELECT 'l' AS side, p_partkey AS id, p_name AS text FROM part WHERE p_partkey < 200 UNION ALL SELECT 'b', p_partkey, p_name || ' ' || p_type FROM part WHERE p_partkey >= 200 AND p_partkey < 400),
+WITH texts AS (SELECT 'l' AS side, p_partkey AS id, p_name || ' ' || p_type AS text FROM part UNION ALL SELECT 'b', -1 - item_id, text FROM benchmark),
 w AS (SELECT side, id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM texts),
 cg AS (SELECT 'c' AS kind, side, id, substr(p, i::int, n::int) AS gram FROM (SELECT side, id, ' ' || w || ' ' AS p, n, unnest(range(1, greatest(length(w) + 2 - n + 1, 1) + 1)) AS i FROM w CROSS JOIN (SELECT unnest([3, 4, 5]) AS n) WHERE length(w) + 2 >= n OR n = 3)),
 wg AS (SELECT 'w', side, id, w FROM w WHERE length(w) >= 2),
@@ -486,8 +506,8 @@ s AS (SELECT a.id AS line, b.id AS "row", sum(a.w / a.norm * b.w / b.norm) / 2 A
 @query(GRAMS + 'SELECT line, "row", round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY round(score, 9) DESC, "row") AS r FROM s) WHERE r = 1')
 def tfidf_top1(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    lines = part.where("p_partkey < 200").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    library = part.where("p_partkey >= 200 and p_partkey < 400").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    lines = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    library = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).cast("long").alias("id"), "text")
     return similarity.top1(lines, library, lines.unionByName(library)).select("line", "row", r6("score").alias("score"))
 
 
@@ -583,3 +603,55 @@ def output_cells(spark, sf_dir):
 @query(DECISIONS + """SELECT count(*) AS "all", count(*) FILTER (WHERE decision = 'matched') AS matched, count(*) FILTER (WHERE decision = 'needs_review') AS needs_review, count(*) FILTER (WHERE decision = 'not_a_material') AS not_a_material, count(*) FILTER (WHERE starts_with(reason, 'LLM_')) AS failed FROM decided""")
 def filter_counts(spark, sf_dir):
     return lineage.filter_counts(decide.decided(decision_rows(spark, sf_dir)))
+
+
+# --- levels, line ids, estimates ------------------------------------------------------------------------------------
+
+LEVELS = """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_type END AS type, p_brand AS usage, p_name AS subtype,
+  CASE WHEN p_partkey % 7 = 0 THEN 'OTHER' ELSE p_type END AS p_t, CASE WHEN p_partkey % 5 = 0 THEN 'OTHER' ELSE p_brand END AS p_u, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE '  ' || p_name END AS p_s FROM part),
+h AS (SELECT *, p_t = type AND type <> '' AS h1, p_t = type AND type <> '' AND p_u = usage AS h2, p_t = type AND type <> '' AND p_u = usage AND p_s = subtype AS h3, p_t = type AND type <> '' AND p_u = usage AND trim(p_s) = subtype AS lenient FROM p)
+"""
+
+
+def leveled_of(spark, sf_dir) -> DataFrame:
+    """part as references (type, usage, subtype) and predictions (p_t, p_u, p_s)."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k, "p_size", F.when(k % 9 == 0, "").otherwise(F.col("p_type")).alias("type"), F.col("p_brand").alias("usage"), F.col("p_name").alias("subtype"),
+        F.when(k % 7 == 0, "OTHER").otherwise(F.col("p_type")).alias("p_t"), F.when(k % 5 == 0, "OTHER").otherwise(F.col("p_brand")).alias("p_u"),
+        F.when(k % 3 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("  "), "p_name")).alias("p_s"),
+    )
+
+
+@query(LEVELS + """SELECT p_size, round(avg(h1::int), 6) AS at_type, round(avg(h2::int), 6) AS at_usage, round(avg(h3::int), 6) AS at_subtype, round(avg(lenient::int), 6) AS at_lenient,
+  round(count_if(h2) / nullif(count_if(h1), 0), 6) AS usage_given_type, round(count_if(lenient) / nullif(count_if(h2), 0), 6) AS subtype_given_usage FROM h GROUP BY 1""")
+def level_accuracy(spark, sf_dir):
+    return levels.accuracy(leveled_of(spark, sf_dir), ["p_size"], ["p_t", "p_u", "p_s"], ["type", "usage", "subtype"]).select("p_size", *[r6(c).alias(c) for c in ("at_type", "at_usage", "at_subtype", "at_lenient", "usage_given_type", "subtype_given_usage")])
+
+
+@query(LEVELS + """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'decision' WHEN NOT h1 THEN 'type' WHEN NOT h2 THEN 'usage' ELSE 'subtype' END AS level, CASE WHEN type <> '' THEN type ELSE p_t END AS family FROM h""")
+def first_wrong_level(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 4 == 0, "false_nm").otherwise("false_match")
+    rows = leveled_of(spark, sf_dir)
+    return rows.select("p_partkey", levels.first_wrong(kind, ["p_t", "p_u", "p_s"], ["type", "usage", "subtype"]).alias("level"), levels.family(F.col("type"), F.col("p_t")).alias("family"))
+
+
+@query("""SELECT c_custkey, substr(sha256('[' || c_custkey || ',' || substr(to_json([coalesce(c_mktsegment, ''), c_name || ' "x"', 'größe'])::varchar, 2)), 1, 16) AS line_id FROM customer""")
+def line_ids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.line_id(F.col("c_custkey"), F.col("c_mktsegment"), F.concat("c_name", F.lit(' "x"')), F.lit("größe")).alias("line_id"))
+
+
+@query("""SELECT p_type, ceil(sum(length(p_name) + length(p_brand) + 3 * length(p_size::varchar) + 24) / 3.0)::bigint AS taxonomy_tokens, sum(ceil(length(p_name) / 4.0))::bigint AS text_tokens FROM part GROUP BY 1""")
+def token_estimates(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size = F.length("p_name") + F.length("p_brand") + 3 * F.length(F.col("p_size").cast("string")) + 24
+    return part.groupBy("p_type").agg(F.ceil(F.sum(size) / 3.0).alias("taxonomy_tokens"), F.sum(text.estimated_tokens(F.col("p_name"))).alias("text_tokens"))
+
+
+@query("""SELECT o_orderpriority, round(greatest(2.0 * count(*) / 100, 5.0), 6) AS cap, count_if(o_orderstatus = 'F') AS correct, count_if(o_orderstatus <> 'O') AS matched,
+  round(count_if(o_orderstatus = 'F') / nullif(count_if(o_orderstatus <> 'O'), 0), 6) AS precision, round(1 - count_if(o_orderstatus = 'F') / nullif(count_if(o_orderstatus <> 'O'), 0), 6) AS risk,
+  round(count_if(o_orderstatus = 'F') / count(*), 6) AS coverage, round(count_if(o_orderstatus <> 'O') / count(*), 6) AS selected FROM orders GROUP BY 1""")
+def point_figures(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("correct"), F.count_if(F.col("o_orderstatus") != "O").alias("matched"), F.count("*").alias("labelled"))
+    found = levels.point_figures(rows).withColumn("cap", runlog.budget_cap(F.col("labelled"), 2.0, 5.0))
+    return found.select("o_orderpriority", r6("cap").alias("cap"), "correct", "matched", *[r6(c).alias(c) for c in ("precision", "risk", "coverage", "selected")])

@@ -13,13 +13,13 @@ from taxolith.functions.text import header_key
 
 RAW = "file string, encoding string, delimiter string, position int, raw_row array<string>"
 
-# Names of the five columns in English and French, as header_key() leaves them.
+# Names of the five columns in English and French; header_key() makes them comparable.
 ALIASES = {
-    "item_no": ("itemno", "item", "pos", "position", "code", "no", "narticle", "numero", "numéro"),
-    "short": ("shortdescription", "short", "description", "designation", "désignation", "libellé", "libelle"),
-    "long": ("longdescription", "long", "descriptionlongue", "longtext"),
-    "unit": ("unit", "unite", "unité", "uom", "u"),
-    "qty": ("qty", "quantity", "boqqty", "quantite", "quantité", "qte", "qté"),
+    "item_no": ("Item No.", "Item number", "Item code", "N° article", "N° d'article", "No article", "Numéro d'article", "Numéro", "N°", "Réf", "Référence"),
+    "short": ("Short Description", "Short desc", "Short", "Description courte", "Désignation", "Designation", "Libellé", "Libelle", "Intitulé"),
+    "long": ("Long Description", "Long desc", "Long", "Description longue", "Description détaillée", "Descriptif", "Description"),
+    "unit": ("Unit", "Units", "UoM", "Unité", "Unite", "Unités"),
+    "qty": ("BoQ Qty", "BoQ Quantity", "Qty", "Quantity", "Quantité", "Quantite", "Qté", "Qte", "Qté BoQ"),
 }
 
 
