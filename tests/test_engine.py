@@ -191,3 +191,15 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("compare_attributes", "occurrence_join", "tfidf_top1", "section_paths", "cache_lookup"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_levels_and_calls(spark):
+    from taxolith.operators import levels, runlog
+
+    rows = spark.createDataFrame([("a", "t", "u", "s ", "t", "u", "s"), ("a", "t", "x", "s", "t", "u", "s"), ("a", "", "u", "s", "", "u", "s"), ("b", "q", "u", "s", "t", "u", "s")], "k string, p1 string, p2 string, p3 string, r1 string, r2 string, r3 string")
+    got = {r.k: r for r in levels.accuracy(rows, ["k"], ["p1", "p2", "p3"], ["r1", "r2", "r3"]).collect()}
+    assert (got["a"].at_type, got["a"].at_usage, got["a"].at_subtype, got["a"].at_lenient, got["a"].usage_given_type) == pytest.approx((2 / 3, 1 / 3, 0, 1 / 3, 1 / 2))
+    assert got["b"].at_type == 0 and got["b"].usage_given_type is None
+    calls = spark.createDataFrame([("timeout", False, None, None, True), ("api_error", False, 404, None, False), ("api_error", False, 404, True, True), ("api_error", False, 409, None, True), ("refusal", False, 500, True, False), ("timeout", True, None, None, False), ("api_error", False, None, None, True)], "status string, miss boolean, http int, should boolean, expect boolean")
+    for r in calls.select("expect", runlog.retryable(F.col("status"), F.col("miss"), F.col("http"), F.col("should")).alias("got")).collect():
+        assert r.got == r.expect
