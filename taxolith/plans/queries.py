@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes, stats, text
-from taxolith.operators import checks, decide, levels, lineage, replay, runlog, sample, score, select, similarity, structure, taxonomy, votes
+from taxolith.operators import checks, decide, enrich, levels, lineage, replay, review, runlog, sample, score, select, similarity, structure, taxonomy, votes
 from taxolith.plans.registry import ORACLES, QUERIES
 
 
@@ -135,12 +135,14 @@ PHRASES = ["the", "of the", "for the", "in of", "is the of"]
 
 
 @query("""WITH t(term, gram, len) AS (VALUES ('the', 'the', 1), ('of the', 'of the', 2), ('for the', 'for the', 2), ('in of', 'in of', 2), ('is the of', 'is the of', 3)),
-b AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-p AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS pos FROM b),
-m AS (SELECT DISTINCT id, term, pos, t.len AS len FROM p JOIN t ON array_to_string(w[pos:pos + t.len - 1], ' ') = gram)
+b AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM b),
+l AS (SELECT id, pos, x, lead(x) OVER v AS y, lead(x, 2) OVER v AS z FROM p WINDOW v AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT id, pos, x AS gram FROM l UNION ALL SELECT id, pos, x || ' ' || y FROM l UNION ALL SELECT id, pos, x || ' ' || y || ' ' || z FROM l),
+m AS (SELECT DISTINCT id, term, pos, t.len AS len FROM g JOIN t USING (gram))
 SELECT id, term, pos AS "at", len FROM m a WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = a.id AND o.len > a.len AND o.pos <= a.pos AND a.pos + a.len <= o.pos + o.len)""")
 def phrase_theta_join(spark, sf_dir):
-    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return similarity.phrase_matches(texts, spark.createDataFrame([(p,) for p in PHRASES], "term string"))
 
 
@@ -315,13 +317,14 @@ def confusion(spark, sf_dir):
     return score.confusion(pairs_of(spark, sf_dir), ["lang", "correct"])
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occ FROM orders WHERE o_orderkey % 2 = 0),
-b AS (SELECT o_custkey AS k, o_orderkey AS other, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occ FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occ FROM orders),
+b AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS other, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) - 1 AS occ FROM lineitem)
 SELECT k, occ, position, other, CASE WHEN position IS NULL THEN 'unscored' WHEN other IS NULL THEN 'missing' ELSE 'paired' END AS status FROM a FULL JOIN b USING (k, occ)""")
 def occurrence_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    a = o.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("position"))
-    b = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").alias("other"))
+    """The n-th order of a customer meets the n-th line of the supplier of the same number."""
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("position"))
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), at.alias("position"), at.alias("other"))
     return score.joined_by_key(a, b, "k", "position").select("k", "occ", "position", "other", "status")
 
 
@@ -410,13 +413,14 @@ def latency_percentiles(spark, sf_dir):
     return runlog.summary(e, ["event_type"]).withColumn("spend", F.round("spend", 4))
 
 
-@query("""WITH a AS (SELECT event_id, user_id || event_type AS h, row_number() OVER (PARTITION BY user_id || event_type ORDER BY event_id) - 1 AS occ FROM events WHERE event_id % 2 = 0),
-b AS (SELECT event_id AS served_by, value AS response, user_id || event_type AS h, row_number() OVER (PARTITION BY user_id || event_type ORDER BY event_id) - 1 AS occ FROM events WHERE event_id % 2 = 1)
+@query("""WITH a AS (SELECT event_id, user_id || event_type AS h, row_number() OVER (PARTITION BY user_id || event_type ORDER BY event_id) - 1 AS occ FROM events),
+b AS (SELECT event_id AS served_by, value AS response, (user_id + 1) || event_type AS h, row_number() OVER (PARTITION BY (user_id + 1) || event_type ORDER BY event_id) - 1 AS occ FROM events)
 SELECT event_id, occ, response, served_by FROM a LEFT JOIN b USING (h, occ)""")
 def cache_lookup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("request_hash", F.concat(F.col("user_id"), F.col("event_type")))
-    a = e.where("event_id % 2 = 0").select("event_id", "request_hash", F.col("event_id").alias("ord"))
-    b = e.where("event_id % 2 = 1").select("request_hash", F.col("event_id").alias("ord"), F.col("value").alias("response"), F.col("event_id").alias("call_id"))
+    """Every event asks, and every event was recorded under the next user's requests."""
+    e = table(spark, sf_dir, "events")
+    a = e.select("event_id", F.concat("user_id", "event_type").alias("request_hash"), F.col("event_id").alias("ord"))
+    b = e.select(F.concat(F.col("user_id") + 1, "event_type").alias("request_hash"), F.col("event_id").alias("ord"), F.col("value").alias("response"), F.col("event_id").alias("call_id"))
     return runlog.cached(a, b).select("event_id", "occ", "response", "served_by")
 
 
@@ -548,12 +552,12 @@ def policy_lookup(spark, sf_dir):
     return replay.resolved_policy(q, p, "T1").select("o_orderkey", "threshold", "how")
 
 
-@query(TAXONOMY + """, f AS (SELECT p_partkey AS line, code AS leader, c.type FROM part JOIN coded c ON c.type = p_type AND c.usage = p_brand AND c.subtype = CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END WHERE p_partkey % 3 = 0),
+@query(TAXONOMY + """, f AS (SELECT p_partkey AS line, code AS leader, c.type FROM part JOIN coded c ON c.type = p_type AND c.usage = p_brand AND c.subtype = CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END),
 n AS (SELECT *, (row_number() OVER (PARTITION BY type ORDER BY line) - 1) // 8 AS group_no FROM f)
 SELECT type, group_no::bigint AS group_no, array_to_string(list(line ORDER BY line), ';') AS lines, (SELECT count(*) FROM coded c WHERE c.type = n.type) AS candidates FROM n GROUP BY type, group_no""")
 def verifier_groups(spark, sf_dir):
     coded = taxonomy_of(spark, sf_dir)
-    part = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("line"), F.col("p_type").alias("type"), F.col("p_brand").alias("usage"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name")).alias("subtype"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.col("p_type").alias("type"), F.col("p_brand").alias("usage"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name")).alias("subtype"))
     flagged = part.join(coded, ["type", "usage", "subtype"]).select("line", F.col("code").alias("leader"))
     out = replay.verifier_groups(flagged, coded, 8)
     return out.select("type", "group_no", F.array_join(F.col("lines").cast("array<string>"), ";").alias("lines"), F.size("candidates").cast("long").alias("candidates"))
@@ -573,11 +577,13 @@ def keep_verdict(spark, sf_dir):
     return replay.keep_verdict(l.select("doc_id", F.col("toxic").alias("correct")), l.select("doc_id", F.col("quality").alias("correct")), ["doc_id"])
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id AS batch, event_id % 10 AS id FROM events), e AS (SELECT user_id AS batch, event_id % 10 AS id, count(DISTINCT event_type) AS k, min(event_type) AS raw FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+@query("""WITH a AS (SELECT DISTINCT user_id AS batch, id FROM events, unnest(range(10)) r(id)), e AS (SELECT user_id AS batch, event_id % 10 AS id, count(DISTINCT event_type) AS k, min(event_type) AS raw FROM events GROUP BY 1, 2)
 SELECT a.batch, a.id, CASE WHEN k IS NULL THEN 'missing' WHEN k > 1 THEN 'conflict' ELSE 'settled' END AS state, CASE WHEN k = 1 THEN raw END AS raw FROM a LEFT JOIN e ON a.batch = e.batch AND a.id = e.id""")
 def batch_reconcile(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), (F.col("event_id") % 10).alias("id"), F.col("event_type").alias("raw"), "event_id")
-    return replay.reconciled(e.select("batch", "id").distinct(), e.where("event_id % 3 <> 0"))
+    """Each user is a batch that asks for ten lines; events answer them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("batch"), (F.col("event_id") % 10).alias("id"), F.col("event_type").alias("raw"))
+    asked = e.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("id"))
+    return replay.reconciled(asked, e)
 
 
 @query("""SELECT l_orderkey AS line, l_linenumber AS call_order, l_partkey AS call_id, p_brand AS model, p_partkey IS NOT NULL AS recorded FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS l_linenumber FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem))
@@ -655,3 +661,77 @@ def point_figures(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("correct"), F.count_if(F.col("o_orderstatus") != "O").alias("matched"), F.count("*").alias("labelled"))
     found = levels.point_figures(rows).withColumn("cap", runlog.budget_cap(F.col("labelled"), 2.0, 5.0))
     return found.select("o_orderpriority", r6("cap").alias("cap"), "correct", "matched", *[r6(c).alias(c) for c in ("precision", "risk", "coverage", "selected")])
+
+
+# --- review and enrichment ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'L' WHEN o_orderkey % 9 = 0 THEN 'S' WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'H' ELSE 'blank' END
+  WHEN o_orderkey % 7 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 8 = 0 THEN 'blank' ELSE 'H' END ELSE 'U' END AS class FROM orders""")
+def row_classes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("type"), F.lit("").alias("usage"), F.when(k % 9 == 0, "S").alias("listed"),
+        F.when(k % 4 != 0, F.when(k % 5 == 0, " ").otherwise("m")).alias("unit"), F.when(k % 7 != 0, F.when(k % 8 == 0, "01.02.0003.").otherwise("01.02")).alias("key"))
+    return o.select("o_orderkey", review.row_class(["type", "usage"], F.col("listed"), F.col("unit"), F.col("key")).alias("class"))
+
+
+@query("""SELECT coalesce(problem, 'none') AS problem, count(*) AS n FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'invalid' WHEN l_returnflag = 'A' AND l_linenumber % 3 = 0 THEN 'matched_blank' WHEN l_returnflag = 'N' AND l_linenumber % 3 <> 0 THEN 'labelled_non_match' END AS problem FROM lineitem) GROUP BY 1""")
+def row_problems(spark, sf_dir):
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(F.when(flag == "A", "matched").when(flag == "N", "needs_review").otherwise("maybe").alias("decision"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(flag).alias("type"))
+    return rows.groupBy(F.coalesce(review.row_problem(F.col("decision"), ["type"]), F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS key, count(*) AS a FROM orders GROUP BY 1), b AS (SELECT c_custkey AS key, count(*) AS b FROM customer GROUP BY 1), j AS (SELECT key, a, b FROM a FULL JOIN b USING (key))
+SELECT key, 'repeated_in_reference' AS problem FROM j WHERE a > 1 UNION ALL SELECT key, 'repeated_in_output' FROM j WHERE b > 1 UNION ALL SELECT key, 'missing' FROM j WHERE b IS NULL UNION ALL SELECT key, 'extra' FROM j WHERE a IS NULL""")
+def key_violations(spark, sf_dir):
+    return review.key_violations(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "k"), table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k"), "k")
+
+
+@query("""WITH g AS (SELECT event_id // 3 AS line, count(*) AS n, min(event_type) AS top1, max(event_type) AS t2, bool_and(user_id % 10 <> 0) AS m FROM events GROUP BY 1)
+SELECT line, top1 FROM g WHERE n = 3 AND top1 = t2 AND m""")
+def unanimous_lines(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.expr("event_id div 3").alias("line"), F.when(F.col("user_id") % 10 != 0, "material").otherwise("service").alias("kind"), F.col("event_type").alias("top1"))
+    return review.unanimous_answers(e, 3)
+
+
+@query(TALLY + "SELECT votes, count(*) AS n, count(*) FILTER (WHERE line % 3 = 0) AS correct, round(count(*) FILTER (WHERE line % 3 = 0) / count(*), 6) AS precision FROM tally GROUP BY 1")
+def precision_by_votes(spark, sf_dir):
+    t = votes.tally(votes_of(spark, sf_dir)).select("votes", (F.col("line") % 3 == 0).alias("correct"))
+    return review.precision_by(t, "votes").withColumn("precision", r6("precision"))
+
+
+@query(TALLY + "SELECT count(*) FILTER (WHERE line % 3 <> 0 AND votes = 3) AS unanimous_wrong, count(*) FILTER (WHERE line % 3 <> 0) AS wrong, round(count(*) FILTER (WHERE line % 3 <> 0 AND votes = 3) / nullif(count(*) FILTER (WHERE line % 3 <> 0), 0), 6) AS share FROM tally")
+def systematic_errors(spark, sf_dir):
+    t = votes.tally(votes_of(spark, sf_dir)).select("votes", (F.col("line") % 3 == 0).alias("correct"))
+    return review.systematic(t, 3).withColumn("share", r6("share"))
+
+
+@query("""SELECT user_id, ['tossup', 'narrow', 'clear', 'decisive'][min(event_id % 4)::int + 1] AS gap FROM events GROUP BY 1""")
+def weakest_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.get(F.array(*map(F.lit, review.GAPS)), (F.col("event_id") % 4).cast("int")).alias("gap"))
+    return e.groupBy("user_id").agg(review.weakest_gap(F.col("gap")).alias("gap"))
+
+
+@query("""WITH e AS (SELECT o_orderpriority AS lang, o_custkey % 40 AS cause, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS w FROM orders), t AS (SELECT lang, count(*) AS t FROM e GROUP BY 1), n AS (SELECT lang, cause, count(*) AS n, sum(w) AS weighted FROM e GROUP BY 1, 2)
+SELECT t.lang AS lang, 'c' || c AS cause, coalesce(n, 0) AS n, round(coalesce(n, 0) / t, 6) AS share, coalesce(n, 0) >= 5 OR (coalesce(n, 0) > 0 AND coalesce(n, 0) >= 0.2 * t) AS triggered, coalesce(weighted, 0)::bigint AS weighted FROM t CROSS JOIN range(45) r(c) LEFT JOIN n ON n.lang = t.lang AND n.cause = c""")
+def cause_triggers(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("lang"), F.concat(F.lit("c"), F.col("o_custkey") % 40).alias("cause"), F.when(F.col("o_orderstatus") == "F", "false_match").otherwise("missed").alias("kind"))
+    causes = spark.range(45).select(F.concat(F.lit("c"), "id").alias("cause"))
+    return review.cause_triggers(e, "lang", causes).withColumn("share", r6("share"))
+
+
+@query(PAIRS + "SELECT decision, (score % 4)::int AS agreeing, correct, count(*) AS n FROM pairs GROUP BY 1, 2, 3")
+def agreement_table(spark, sf_dir):
+    return review.counted(pairs_of(spark, sf_dir).withColumn("agreeing", (F.col("score") % 4).cast("int")), ["decision", "agreeing", "correct"])
+
+
+@query("SELECT count(DISTINCT p_type) AS types, count(DISTINCT (p_type, p_brand)) AS usages, count(*) AS rows FROM part")
+def taxonomy_size(spark, sf_dir):
+    return review.taxonomy_size(table(spark, sf_dir, "part").withColumnsRenamed({"p_type": "type", "p_brand": "usage"}))
+
+
+@query("""WITH l AS (SELECT p_type AS label FROM part UNION SELECT p_brand FROM part UNION SELECT p_name FROM part)
+SELECT label FROM l WHERE trim(label) <> ''""")
+def taxonomy_labels(spark, sf_dir):
+    return enrich.labels(table(spark, sf_dir, "part").withColumnsRenamed({"p_type": "type", "p_brand": "usage", "p_name": "subtype"}))
