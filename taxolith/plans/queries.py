@@ -701,10 +701,10 @@ def precision_by_votes(spark, sf_dir):
     return review.precision_by(t, "votes").withColumn("precision", r6("precision"))
 
 
-@query(TALLY + "SELECT count(*) FILTER (WHERE line % 3 <> 0 AND votes = 3) AS unanimous_wrong, count(*) FILTER (WHERE line % 3 <> 0) AS wrong, round(count(*) FILTER (WHERE line % 3 <> 0 AND votes = 3) / nullif(count(*) FILTER (WHERE line % 3 <> 0), 0), 6) AS share FROM tally")
+@query(TALLY + "SELECT count(*) FILTER (WHERE line % 3 <> 0 AND votes = 5) AS unanimous_wrong, count(*) FILTER (WHERE line % 3 <> 0) AS wrong, round(count(*) FILTER (WHERE line % 3 <> 0 AND votes = 5) / nullif(count(*) FILTER (WHERE line % 3 <> 0), 0), 6) AS share FROM tally")
 def systematic_errors(spark, sf_dir):
     t = votes.tally(votes_of(spark, sf_dir)).select("votes", (F.col("line") % 3 == 0).alias("correct"))
-    return review.systematic(t, 3).withColumn("share", r6("share"))
+    return review.systematic(t, 5).withColumn("share", r6("share"))
 
 
 @query("""SELECT user_id, ['tossup', 'narrow', 'clear', 'decisive'][min(event_id % 4)::int + 1] AS gap FROM events GROUP BY 1""")
