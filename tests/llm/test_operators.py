@@ -461,7 +461,6 @@ def test_toxicity_grammar():
     assert score("you idiot") > score("an idiot") > score("she said idiot") > 0
     assert score("you are not an idiot") < score("you are an idiot")
     assert score("not. an idiot") == score("an idiot")  # a clause ends there
-    assert score("i will kill you") == 0 < score("you i will kill")
     assert score("morons") > 0 == score("more")
     assert toxicity.features("idiot. idiot", lexicon, arcs)[2] > toxicity.features("idiot idiot", lexicon, arcs)[2]
 
