@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taxolith.llm import decontaminate, exact_dedup, jaccard, licenses, line_dedup, pieces, quality, resampling, token_counts, toxicity, warc
+from taxolith.llm import conversations, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pieces, quality, resampling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLES = {
     "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
