@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taxolith.llm import conversations, decontaminate, exact_dedup, jaccard, licenses, line_dedup, pieces, quality, resampling, token_counts, toxicity, warc
+from taxolith.llm import conversations, decontaminate, exact_dedup, jaccard, licenses, line_dedup, line_labels, pieces, quality, resampling, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_quality_rules": line_labels.op12_quality_rules,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLES = {
