@@ -29,11 +29,13 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, most: int) -> Column:
     """All runs of 1 to most consecutive words, joined by one space, repeats kept."""
-    runs = [tokens]
-    for n in range(2, most + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
-    return F.concat(*runs) if most > 1 else tokens
+
+    def runs(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+
+    # the words are computed once, not once for every start
+    return tokens if most == 1 else F.transform(F.array(tokens), lambda w: F.concat(w, *[runs(w, n) for n in range(2, most + 1)]))[0]
 
 
 def bucket(feature: Column, buckets: int) -> Column:
