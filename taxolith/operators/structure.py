@@ -26,28 +26,90 @@ def classified(rows: DataFrame, header_patterns: list[str] = ()) -> DataFrame:
     return rows.withColumn("_next", next_code).withColumn("kind", kind).drop("_next")
 
 
+PATH = "array<struct<item_no:string,text:string>>"
+
+
 def section_paths(rows: DataFrame) -> DataFrame:
     """file, position, path: the headers above a row whose code is a strict prefix of its own and that no header between them ended.
 
-    A header ends at the first later header it is no prefix of. Both joins meet on the file and the first code segment:
-    a prefix shares it, so nothing is compared across chapters.
+    A header is open as long as the headers after it, without a gap, extend its code. Headers are numbered in each file and
+    listed under all their prefixes: under one prefix, numbers that follow each other from a header of just that code are its
+    stretch. A row asks under each of its strict prefixes whether the last number before it is the last one listed there.
+    Rows and headers so meet in one dealing by (file, prefix); nothing is compared in pairs.
+    """
+    coded = rows.select("file", "position", "code", "text", "kind", code_segments(F.coalesce("code", F.lit(""))).alias("seg"))
+    above = Window.partitionBy("file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    is_head = F.col("kind") == "header"
+    coded = coded.withColumn("before", F.coalesce(F.sum(is_head.cast("long")).over(above), F.lit(0)))
+    prefixes = lambda least, most: F.transform(F.filter(F.sequence(F.lit(0), F.size("seg")), lambda n: (n >= least) & (n <= most)), lambda n: F.slice(F.col("seg"), 1, n))
+    title = F.struct(F.col("position").alias("at"), F.col("code").alias("item_no"), "text")
+    heads = coded.where(is_head & (F.size("seg") > 0)).select("file", F.explode(prefixes(1, F.size("seg"))).alias("prefix"), (F.col("before") + 1).alias("number"), F.lit(0).alias("asks"), "position", "seg", title.alias("title"))
+    heads = heads.withColumn("title", F.when(F.col("prefix") == F.col("seg"), F.col("title"))).drop("seg")
+    asked = coded.select("file", F.explode(prefixes(1, F.size("seg") - 1)).alias("prefix"), F.col("before").alias("number"), F.lit(1).alias("asks"), "position").withColumn("title", F.lit(None).cast(heads.schema["title"].dataType))
+    w = Window.partitionBy("file", "prefix").orderBy("number", "asks", "position")
+    listed = F.last(F.when(F.col("asks") == 0, F.col("number")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    both = heads.unionByName(asked).withColumn("listed", listed)
+    begins = (F.col("asks") == 0) & (F.col("title").isNotNull() | F.coalesce(F.col("listed") != F.col("number") - 1, F.lit(True)))
+    stretch = F.last(F.when(begins, F.struct("title")), ignorenulls=True).over(w)["title"]
+    found = both.withColumn("open", stretch).where((F.col("asks") == 1) & (F.col("listed") == F.col("number")) & F.col("open").isNotNull())
+    paths = found.groupBy("file", "position").agg(F.array_sort(F.collect_list("open")).alias("path"))
+    joined = rows.select("file", "position").join(paths, ["file", "position"], "left")
+    return joined.select("file", "position", F.coalesce(F.transform("path", lambda h: F.struct(h["item_no"].alias("item_no"), h["text"].alias("text"))), F.array().cast(PATH)).alias("path"))
+
+
+def context_runs(rows: DataFrame) -> DataFrame:
+    """rows of files without codes with is_context, run (number of the last run begun) and place (of a context row in its run, from 0).
+
+    Context rows are unconfirmed headers with a title and no long text that a filled row follows. Empty rows are
+    transparent: they neither break nor extend a run.
     """
-    coded = rows.select("file", "position", "code", "text", "kind", code_segments(F.coalesce("code", F.lit(""))).alias("seg")).withColumn("chapter", F.get("seg", F.lit(0)))
-    heads = coded.where(F.col("kind") == "header").where(F.col("chapter").isNotNull())
     w = Window.partitionBy("file").orderBy("position")
-    island = heads.withColumn("_new", F.coalesce((F.col("chapter") != F.lag("chapter").over(w)).cast("int"), F.lit(0))).withColumn("run", F.sum("_new").over(w))
-    starts = island.groupBy("file", "run").agg(F.min("position").alias("start"))
-    ends = starts.select("file", (F.col("run") - 1).alias("run"), F.col("start").alias("run_end"))
-    heads = island.join(ends, ["file", "run"], "left").select("file", "run", "position", "code", "text", "seg", "chapter", "run_end")
-    a, b = heads.alias("a"), heads.alias("b")
-    later = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.run") == F.col("b.run")) & (F.col("b.position") > F.col("a.position")) & ~strict_prefix(F.col("a.seg"), F.col("b.seg")))
-    ended = later.groupBy("a.file", "a.position").agg(F.min("b.position").alias("cut"))
-    open_ = heads.join(ended, ["file", "position"], "left").withColumn("until", F.least("cut", "run_end")).select("file", "chapter", F.col("position").alias("at"), "until", F.col("seg").alias("head"), F.col("code").alias("item_no"), F.col("text").alias("title"))
-    inside = (F.col("at") < F.col("position")) & (F.col("until").isNull() | (F.col("position") < F.col("until"))) & strict_prefix(F.col("head"), F.col("seg"))
-    joined = coded.join(open_, ["file", "chapter"]).where(inside)
-    paths = joined.groupBy("file", "position").agg(F.array_sort(F.collect_list(F.struct("at", "item_no", F.col("title").alias("text")))).alias("path"))
-    found = rows.select("file", "position").join(paths, ["file", "position"], "left")
-    return found.select("file", "position", F.coalesce(F.transform("path", lambda h: F.struct(h["item_no"].alias("item_no"), h["text"].alias("text"))), F.array().cast("array<struct<item_no:string,text:string>>")).alias("path"))
+    above = w.rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.col("kind") != "empty_row"
+    last = F.max(F.when(filled, F.col("position"))).over(Window.partitionBy("file"))
+    context = (F.col("kind") == "header_unconfirmed") & ~blank("text") & blank("long") & (F.col("position") < last)
+    flagged = rows.withColumn("is_context", F.coalesce(context, F.lit(False)))
+    behind = F.last(F.when(filled, F.col("is_context")), ignorenulls=True).over(above)
+    begun = flagged.withColumn("_begins", F.col("is_context") & ~F.coalesce(behind, F.lit(False)))
+    counted = begun.withColumns({"run": F.sum(F.col("_begins").cast("long")).over(w), "_seen": F.coalesce(F.sum(F.col("is_context").cast("long")).over(above), F.lit(0))})
+    at_begin = F.last(F.when(F.col("_begins"), F.col("_seen")), ignorenulls=True).over(w)
+    return counted.withColumn("place", F.when(F.col("is_context"), F.col("_seen") - at_begin)).drop("_begins", "_seen")
+
+
+def codeless_paths(rows: DataFrame) -> DataFrame:
+    """file, position, kind, is_context, run, path of files without codes: a run of n titles fills the innermost n of the file's levels.
+
+    The file's depth is its longest run. After run k the path has min(depth, titles so far) levels, of which the run's own
+    are the innermost; each level above keeps the last title it had. Levels are filled run by run, not row by row: a row's
+    path is the beginning of its run's.
+    """
+    marked = context_runs(rows)
+    title = F.struct("position", F.col("code").alias("item_no"), "text")
+    runs = marked.where("is_context").groupBy("file", "run").agg(F.array_sort(F.collect_list(title)).alias("titles"))
+    of_file, so_far = Window.partitionBy("file"), Window.partitionBy("file").orderBy("run")
+    n = F.size("titles").cast("long")
+    sized = runs.withColumns({"levels": F.least(F.max(n).over(of_file), F.sum(n).over(so_far)), "n": n})
+    each = sized.select("file", "run", "levels", "n", F.posexplode(F.concat(F.array_repeat(F.lit(None).cast(marked.select(title.alias("t")).schema["t"].dataType), (F.col("levels") - F.col("n")).cast("int")), "titles")).alias("level", "title"))
+    kept = F.last("title", ignorenulls=True).over(Window.partitionBy("file", "level").orderBy("run"))
+    stacks = each.withColumn("title", kept).groupBy("file", "run").agg(F.first("levels").alias("levels"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("level", "title"))).alias("stack"))
+    joined = marked.select("file", "position", "kind", "is_context", "run", "place").join(stacks, ["file", "run"], "left")
+    length = F.when(F.col("kind") == "empty_row", 0).when(F.col("is_context"), F.col("levels") - F.col("n") + F.col("place")).otherwise(F.col("levels"))
+    path = F.transform(F.slice("stack", F.lit(1), F.coalesce(length, F.lit(0)).cast("int")), lambda x: F.struct(x["title"]["item_no"].alias("item_no"), x["title"]["text"].alias("text")))
+    return joined.select("file", "position", "kind", "is_context", "run", F.coalesce(path, F.array().cast(PATH)).alias("path"))
+
+
+#: Characters of a field that are kept for a request.
+CAPS = {"code": 64, "text": 1_000, "long": 4_000}
+
+
+def oversized(caps: dict[str, int] = CAPS) -> Column:
+    """Names of the fields that exceed their cap, in the caps' order."""
+    return F.array_compact(F.array(*[F.when(F.length(n) > cap, F.lit(n)) for n, cap in caps.items()]))
+
+
+def capped(rows: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
+    """rows with their capped fields cut, and truncated: was any cut."""
+    return rows.withColumns({"truncated": F.size(oversized(caps)) > 0} | {n: F.substring(n, 1, cap) for n, cap in caps.items()})
 
 
 def batches(lines: DataFrame, size: int, group: str = "file", order: str = "position", path: str = "path") -> DataFrame:
