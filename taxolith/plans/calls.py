@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taxolith.operators import retries
+from taxolith.functions import canonical
+from taxolith.operators import answers, retries
 from taxolith.plans.queries import query, table
 
 MAX_CALLS = 6
@@ -30,3 +31,47 @@ def bisected_batches(spark, sf_dir):
     log = turns.select(F.col("conv_id").alias("batch"), F.col("turn").alias("line"), "n", F.explode(F.sequence(F.lit(1), F.lit(MAX_CALLS))).alias("call")).withColumn("kind", F.expr(KIND)).where("kind <> 'ok'").drop("n")
     done = retries.settled(retries.first_tasks(turns, "conv_id", "turn", "turn"), retries.recorded(log), MAX_CALLS)
     return done.withColumnsRenamed({"batch": "conv_id", "line": "turn"})
+
+
+@query("""SELECT doc_id, sha256('{"max_tokens":' || n_chars || ',"model":' || to_json(lang)::VARCHAR || ',"schema":{"a":[1,2.5,null],"type":' || to_json(source)::VARCHAR || '},"system_blocks":[{"cache":' || (n_chars % 2 = 0) || ',"text":' || to_json(source)::VARCHAR
+  || '},{"cache":false,"text":"x\\u0001\\"é"}],"temperature":' || ((n_chars % 10) / 10.0) || ',"user_payload":' || to_json(text)::VARCHAR || '}') AS request_hash, 'L' || doc_id AS transport_id FROM documents""")
+def request_hashes(spark, sf_dir):
+    """Each document as a request: the key under which its answers are kept."""
+    block = lambda text, cache: F.struct(text.alias("text"), cache.alias("cache"))
+    requests = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("model"), F.array(block(F.col("source"), F.col("n_chars") % 2 == 0), block(F.lit('x\x01"é'), F.lit(False))).alias("system_blocks"),
+        F.concat(F.lit('{"type" : '), canonical.quoted(F.col("source")), F.lit(', "a":[1, 2.50, null]}')).alias("schema_json"),
+        (F.col("n_chars") % 10 / 10.0).alias("temperature"), F.col("n_chars").alias("max_tokens"), F.col("text").alias("user_payload"),
+    )
+    return requests.select("doc_id", canonical.request_hash(requests).alias("request_hash"), canonical.transport_id(F.col("doc_id")).alias("transport_id"))
+
+
+#: A line of an answer that quotes a turn; K varies what is wrong with it.
+LINE = """'{"id": "' || turn || '"' || CASE WHEN k = 5 THEN ', "more": [1, {"x": "]}"}]' ELSE '' END || ',  "evidence":"' || CASE WHEN k = 7 THEN repeat('w ', 26) ELSE 'a \\"b\\", [c' END || '","element_or_application":"","material_family":"' || role || '","kind":"'
+  || CASE WHEN k = 1 THEN 'Material' WHEN k = 6 THEN 'thing' ELSE 'no_equivalent' END || '","nm_category":"","top1":"T1","top2":"", "confidence" : ' || CASE k WHEN 2 THEN '"90"' WHEN 3 THEN '101' WHEN 4 THEN '90.0' ELSE (length(text) % 101)::VARCHAR END || ',"self_reported_candidate_gap":"clear"}'"""
+
+
+def line_text():
+    """LINE as columns."""
+    k, text = F.col("k"), F.lit
+    pick = lambda cases, other: F.coalesce(*[F.when(k == n, v) for n, v in cases.items()], other)
+    return F.concat(
+        text('{"id": "'), F.col("turn").cast("string"), text('"'), pick({5: ', "more": [1, {"x": "]}"}]'}, text("")), text(',  "evidence":"'), pick({7: "w " * 26}, text('a \\"b\\", [c')),
+        text('","element_or_application":"","material_family":"'), F.col("role"), text('","kind":"'), pick({1: "Material", 6: "thing"}, text("no_equivalent")), text('","nm_category":"","top1":"T1","top2":"", "confidence" : '),
+        pick({2: '"90"', 3: "101", 4: "90.0"}, (F.length("text") % 101).cast("string")), text(',"self_reported_candidate_gap":"clear"}'),
+    )
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, length(text) % 9 AS k FROM conversations), l AS (SELECT *, {LINE} AS line FROM t), m AS (SELECT conv_id, conv_id % 11 = 0 AS broken FROM t GROUP BY 1)
+SELECT conv_id, CASE WHEN NOT broken THEN turn END AS line_no, CASE WHEN NOT broken THEN sha256(line) END AS raw_sha256, CASE WHEN NOT broken THEN turn::VARCHAR END AS id, CASE WHEN NOT broken THEN CASE k WHEN 2 THEN 'type:confidence' WHEN 3 THEN 'range:confidence' WHEN 4 THEN 'type:confidence' WHEN 5 THEN 'fields' WHEN 6 THEN 'value:kind' WHEN 7 THEN 'length:evidence' END END AS problem,
+  CASE WHEN NOT broken AND k IN (0, 1, 8) THEN CASE WHEN k = 1 THEN 'material' ELSE 'no_equivalent' END END AS kind, CASE WHEN NOT broken AND k IN (0, 1, 8) THEN length(text) % 101 END AS confidence FROM l JOIN m USING (conv_id) WHERE NOT broken OR turn = (SELECT min(turn) FROM t x WHERE x.conv_id = l.conv_id)""")
+def strict_answers(spark, sf_dir):
+    """A conversation as one answer whose lines quote its turns, some wrong in one way; each line's verdict and verbatim text."""
+    lines = table(spark, sf_dir, "conversations").withColumn("k", F.length("text") % 9).select("conv_id", "turn", line_text().alias("line"))
+    calls = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit(" "), x["line"], F.lit("\n"))), ",")
+    raw = F.concat(F.when(F.col("conv_id") % 11 == 0, F.lit('{"note": 1, "lines":[')).otherwise(F.lit('{ "lines" : [')), body, F.lit("] }"))
+    found = answers.validated_lines(calls.select("conv_id", F.col("lines.turn").alias("turns"), raw.alias("raw")))
+    return found.select("conv_id", "turns", F.posexplode_outer("entries").alias("at", "e")).select(
+        "conv_id", F.get("turns", F.col("at")).alias("line_no"), F.sha2(F.col("e.raw"), 256).alias("raw_sha256"), "e.id", "e.problem", "e.kind", F.col("e.confidence").cast("long").alias("confidence")
+    )
