@@ -57,11 +57,11 @@ def test_codes_and_evidence(spark):
 
 def test_attributes(spark):
     rows = values(spark, attributes.extract, "c30/37 xc4/xa1 cem ii/a dn 160 250 g/m2 0/31.5", "c25/30 c30/37 cem ii/a cem ii/b", "30% rap warm mix", "17 05 04 other than 17 05 03", "ø 12.5", "10% ra 20% ra virgin", "hot and warm")
-    assert rows[0].strength_class == [30, 37] and rows[0].exposure_classes == ["xa1", "xc4"] and rows[0].cement_type == ["ii", "a"]
-    assert rows[0].diameter_mm == 160 and rows[0].areal_mass == 250 and rows[0].grading == ["0/31.5"] and rows[0].ambiguous == []
-    assert rows[1].strength_class is None and rows[1].cement_type == ["ii"] and rows[1].ambiguous == ["strength_class"]
-    assert rows[2].recycled_pct == 30 and rows[2].process == "WMA" and rows[3].waste_code == "170504"
-    assert rows[4].diameter_mm is None and rows[4].ambiguous == ["diameter_mm"] and rows[5].recycled_pct is None and rows[6].process is None
+    assert rows[0].strength_class == ["30,37"] and rows[0].exposure_classes == ["xa1", "xc4"] and rows[0].cement_type == ["ii", "a"]
+    assert rows[0].diameter_mm == ["160"] and rows[0].areal_mass == ["250"] and rows[0].grading == ["0/31.5"] and rows[0].ambiguous == []
+    assert rows[1].strength_class == [] and rows[1].cement_type == ["ii"] and rows[1].ambiguous == ["strength_class"]
+    assert rows[2].recycled_pct == ["30"] and rows[2].process == ["WMA"] and rows[3].waste_code == ["170504"]
+    assert rows[4].diameter_mm == [] and rows[4].ambiguous == ["diameter_mm"] and rows[5].recycled_pct == [] and rows[6].process == []
     df = spark.createDataFrame([("dn 100", "dn 100"), ("dn 100", "dn 200"), ("x", "dn 1"), ("xc1 xc2", "xc1"), ("cem ii", "cem ii/a")], "a string, b string")
     assert [r.v for r in df.select(attributes.compare(attributes.extract(F.col("a")), attributes.extract(F.col("b"))).alias("v")).collect()] == ["agree", "conflict", "no_evidence", "conflict", "agree"]
 
