@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes
-from taxolith.operators import evaluate
-from taxolith.plans.queries import query, table
+from taxolith.operators import evaluate, scopes
+from taxolith.plans.queries import query, r6, table
 
 #: Values of six families drawn from a number, and the text that states them.
 VALUES = """CASE WHEN n % 3 <> 0 THEN n % 7 + 10 END AS d, CASE n % 4 WHEN 1 THEN 'WMA' WHEN 2 THEN 'HMA' END AS p, CASE n % 11 WHEN 1 THEN '25,30' WHEN 2 THEN '30,37' END AS s,
@@ -33,3 +33,44 @@ def labelled_against_library(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("n"))
     found = evaluate.against_library(texts_of(docs, "line", "label"), texts_of(part, "label"))
     return found.withColumn("conflicting", F.array_join("conflicting", ","))
+
+
+#: A document's reference, what an output made of it, and its suggestions, drawn from its length.
+PAIR = """WITH d AS (SELECT doc_id, lang, source, n_chars AS n, CASE WHEN n_chars % 29 = 0 THEN 'H' WHEN n_chars % 31 = 0 THEN 'U' WHEN n_chars % 10 = 0 THEN 'E' WHEN n_chars % 37 = 0 THEN 'S' ELSE 'L' END AS class FROM documents),
+s AS (SELECT *, CASE WHEN n % 41 = 0 THEN NULL WHEN n % 43 = 0 THEN 'other' ELSE ['matched', 'matched', 'needs_review', 'not_a_material'][n % 4 + 1] END AS decision, CASE WHEN class = 'L' THEN [lang, source, 's ' || (n % 3)] ELSE ['', '', ''] END AS ref,
+  [CASE WHEN n % 7 = 0 THEN 'xx' ELSE lang END, CASE WHEN n % 7 = 1 THEN 'xx' ELSE source END, CASE n % 7 WHEN 2 THEN 'xx' WHEN 3 THEN ' s  ' || (n % 3) ELSE 's ' || (n % 3) END] AS out,
+  [lang, CASE WHEN n % 5 = 0 THEN 'xx' ELSE source END, 's ' || (n % 3)] AS s1, [lang, source, 's ' || (n % 2)] AS s2, CASE WHEN n % 3 = 0 THEN ' ' ELSE 'm' END AS unit, n / 1000.0 AS cost FROM d),
+j AS (SELECT *, coalesce(CASE WHEN decision IN ('matched', 'needs_review', 'not_a_material', 'other') THEN decision END, 'missing') AS e, class = 'L' AS l, class IN ('L', 'E') AS m, class NOT IN ('H', 'U') AS i, decision = 'matched' AS k, class = 'L' AND out = ref AS r, class = 'L' AND list_transform(out, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) = ref AS z FROM s)
+"""
+
+
+def pairs_of(spark, sf_dir) -> DataFrame:
+    n = F.col("n_chars")
+    three = lambda *c: F.struct(*[F.lit(x).alias(k) if isinstance(x, str) else x.alias(k) for k, x in zip(scopes.LEVELS, c, strict=True)])
+    sub = lambda k: F.concat(F.lit("s "), n % k)
+    own = F.col("lang"), F.col("source")
+    klass = F.when(n % 29 == 0, "H").when(n % 31 == 0, "U").when(n % 10 == 0, "E").when(n % 37 == 0, "S").otherwise("L")
+    decision = F.when(n % 41 == 0, None).when(n % 43 == 0, "other").when(n % 4 < 2, "matched").when(n % 4 == 2, "needs_review").otherwise("not_a_material")
+    out = three(F.when(n % 7 == 0, "xx").otherwise(own[0]), F.when(n % 7 == 1, "xx").otherwise(own[1]), F.when(n % 7 == 2, "xx").when(n % 7 == 3, F.concat(F.lit(" s  "), n % 3)).otherwise(sub(3)))
+    return table(spark, sf_dir, "documents").select(
+        "lang", klass.alias("class"), decision.alias("decision"), out.alias("out"), F.when(klass == "L", three(*own, sub(3))).otherwise(three("", "", "")).alias("ref"),
+        three(own[0], F.when(n % 5 == 0, "xx").otherwise(own[1]), sub(3)).alias("suggested"), three(*own, sub(2)).alias("suggested_2"), F.when(n % 3 == 0, " ").otherwise("m").alias("unit"), (n / 1000.0).alias("cost"),
+    )
+
+
+@query(PAIR + """SELECT lang, count(*) AS rows, count(*) FILTER (WHERE i) AS items, count(*) FILTER (WHERE class = 'U') AS unclassed, count(*) FILTER (WHERE l) AS labelled, count(*) FILTER (WHERE class = 'E') AS no_equivalent, count(*) FILTER (WHERE e = 'missing') AS missing, count(*) FILTER (WHERE e = 'other') AS invalid,
+  count(*) FILTER (WHERE k) AS matched, count(*) FILTER (WHERE k AND r) AS correct, round(count(*) FILTER (WHERE k AND r) / count(*) FILTER (WHERE k), 6) AS precision, round(count(*) FILTER (WHERE k AND r) / count(*) FILTER (WHERE m), 6) AS coverage_material,
+  round(count(*) FILTER (WHERE k AND l AND out[1] = ref[1]) / count(*) FILTER (WHERE k), 6) AS matched_type, round(count(*) FILTER (WHERE k AND l AND out[1:2] = ref[1:2]) / count(*) FILTER (WHERE k), 6) AS matched_usage,
+  round(count(*) FILTER (WHERE l AND s1[1:2] = ref[1:2]) / count(*) FILTER (WHERE l), 6) AS labelled_usage, round(count(*) FILTER (WHERE l AND s1 = ref) / count(*) FILTER (WHERE l AND s1[1:2] = ref[1:2]), 6) AS subtype_given_usage,
+  count(*) FILTER (WHERE m AND e = 'not_a_material') AS false_skips, count(*) FILTER (WHERE k AND z AND NOT r) AS whitespace_only, count(*) FILTER (WHERE e = 'not_a_material' AND trim(unit) <> '') AS skips_with_unit, round(count(*) FILTER (WHERE k AND z) / count(*) FILTER (WHERE k), 6) AS lenient_precision,
+  count(*) FILTER (WHERE l AND e = 'needs_review' AND s1 = ref) AS hit_1, count(*) FILTER (WHERE l AND e = 'needs_review' AND (s1 = ref OR s2 = ref)) AS hit_2, round(count(*) FILTER (WHERE i AND e = 'needs_review') / count(*) FILTER (WHERE i), 6) AS item_review_share,
+  round((count(*) FILTER (WHERE k AND r) + count(*) FILTER (WHERE m AND e = 'needs_review')) / count(*) FILTER (WHERE m), 6) AS helped, round(100 * count(*) FILTER (WHERE e = 'needs_review') / count(*) FILTER (WHERE e <> 'missing'), 6) AS review_per_100, round(avg(cost), 6) AS mean_cost, NULL::DOUBLE AS mean_latency
+  FROM j GROUP BY GROUPING SETS ((), (lang))""")
+def scored_output(spark, sf_dir):
+    """Every figure of an output over documents, in all and by language, in one aggregation."""
+    s = scopes.score_output(pairs_of(spark, sf_dir), [[], ["lang"]])
+    return s.select(
+        "lang", "counts.*", F.col("all_rows.invalid"), "precision.matched", "precision.correct", r6("precision.value").alias("precision"), r6("coverage_material.value").alias("coverage_material"), r6("levels_matched.type").alias("matched_type"), r6("levels_matched.usage").alias("matched_usage"),
+        r6("levels_labelled.usage").alias("labelled_usage"), r6("cascade.subtype_given_usage").alias("subtype_given_usage"), "false_skips", "whitespace_only", "skips_with_unit", r6("lenient.precision").alias("lenient_precision"), F.col("hit_at_1.hits").alias("hit_1"), F.col("hit_at_2.hits").alias("hit_2"),
+        r6("item_rows.needs_review_share").alias("item_review_share"), r6("helped.value").alias("helped"), r6("review_load.per_100").alias("review_per_100"), r6("mean_cost").alias("mean_cost"), "mean_latency",
+    )
