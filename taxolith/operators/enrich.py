@@ -5,9 +5,10 @@ Terms meet labels by their words, runs of letters and digits: marks inside a ter
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolith.functions.canonical import quoted
 from taxolith.functions.text import normalize
 from taxolith.operators.similarity import phrase_matches
 
@@ -47,3 +48,62 @@ def missing_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     starts = runs.select("w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at"))
     seen = starts.select(F.expr("array_join(slice(w, at, n), ' ')").alias("gram")).distinct()
     return terms.join(grams.join(seen, F.array_join("tw", " ") == F.col("gram")).select("term").distinct(), "term", "left_anti")
+
+
+def code_also(coded: DataFrame, equivalents: DataFrame) -> DataFrame:
+    """code, also: the equivalents of the node of each type, usage and row code; empty where it has none.
+
+    coded: type, usage, subtype, parent, code. equivalents: (type, usage, subtype, also) of nodes, usage and subtype being
+    null for a type's node and subtype for a usage's. A node's own list counts, never its parent's.
+    """
+    levels = F.array(
+        F.struct(F.regexp_extract("code", r"^(T\d+)", 1).alias("node"), F.col("type"), F.lit(None).cast("string").alias("usage"), F.lit(None).cast("string").alias("subtype")),
+        F.struct(F.col("parent").alias("node"), "type", "usage", F.lit(None).cast("string").alias("subtype")),
+        F.struct(F.col("code").alias("node"), "type", "usage", "subtype"),
+    )
+    nodes = coded.select(F.inline(levels)).distinct()
+    e = equivalents.select(*[F.col(c).alias(f"_{c}") for c in ("type", "usage", "subtype")], "also")
+    same = (F.col("type") == F.col("_type")) & F.col("usage").eqNullSafe(F.col("_usage")) & F.col("subtype").eqNullSafe(F.col("_subtype"))
+    return nodes.join(e, same, "left").select(F.col("node").alias("code"), F.coalesce("also", F.array().cast("array<string>")).alias("also"))
+
+
+def enriched_tree(coded: DataFrame, equivalents: DataFrame, reverse: bool = False) -> DataFrame:
+    """type_code, document: the coded tree of each type as one text, each line with its node's equivalents in brackets.
+
+    A type's line comes before its usages, a usage's before its rows; control breaks are where a code's prefix changes.
+    Types are rendered apart, so no task holds the whole tree.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("code") if reverse else F.asc("code"))) == 1
+    kind = F.regexp_extract("code", r"^(T\d+)", 1)
+    marked = coded.withColumns({"type_code": kind, "_type": first("type"), "_usage": first("type", "usage")})
+    line = lambda k, code, indent, label: F.struct(F.lit(k).alias("k"), code.alias("node"), F.lit(indent).alias("indent"), label.alias("label"))
+    parts = F.array_compact(F.array(F.when(F.col("_type"), line(0, kind, "", F.col("type"))), F.when(F.col("_usage"), line(1, F.col("parent"), "  ", F.col("usage"))), line(2, F.col("code"), "    ", F.col("subtype"))))
+    lines = marked.select("type_code", "code", F.inline(parts)).join(code_also(coded, equivalents).withColumnRenamed("code", "node"), "node")
+    suffix = F.when(F.size("also") > 0, F.concat(F.lit(" [also: "), F.array_join("also", "; "), F.lit("]"))).otherwise("")
+    text = F.concat("indent", "node", F.when(F.col("label") != "", F.concat(F.lit(" "), "label")).otherwise(""), suffix)
+    rows = lines.groupBy("type_code").agg(F.collect_list(F.struct("code", "k", text.alias("text"))).alias("rows"))
+    below = lambda a, b: F.when(a["code"] < b["code"], 1).when(a["code"] > b["code"], -1).otherwise(a["k"] - b["k"])
+    ordered = F.array_sort("rows", below) if reverse else F.array_sort("rows")
+    return rows.select("type_code", F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("document"))
+
+
+#: Characters of markup, which a request writes as JSON escapes so that no line can close the envelope it stands in.
+MARKUP = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026"}
+
+
+def verifier_payload(lines: DataFrame, coded: DataFrame) -> DataFrame:
+    """batch, type, payload: a batch's flagged lines of a type with all rows of the type as candidates, as one JSON object.
+
+    lines: batch, id, type and the fields item_no, section_path, short, long, unit, qty; batches are as small as a request
+    may be. Keys are sorted, items follow ", " and ": ".
+    """
+    fields = ("id", "item_no", "long", "qty", "section_path", "short", "unit")
+    spaced = lambda pairs: F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in pairs]), F.lit("}"))
+    ours = lines.groupBy("batch", "type").agg(F.array_sort(F.collect_list(F.struct("id", spaced([(f, quoted(F.coalesce(F.col(f), F.lit("")))) for f in fields]).alias("text")))).alias("lines"))
+    row = spaced([("code", quoted(F.col("code"))), ("subtype", quoted(F.col("subtype"))), ("usage", quoted(F.col("usage")))])
+    rows = coded.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("code", row.alias("text")))).alias("rows"))
+    texts = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x["text"]), ", "), F.lit("]"))
+    body = spaced([("candidates", texts("rows")), ("lines", texts("lines")), ("type", quoted(F.col("type")))])
+    for char, escape in MARKUP.items():
+        body = F.replace(body, F.lit(char), F.lit(escape))
+    return ours.join(rows, "type").select("batch", "type", body.alias("payload"))

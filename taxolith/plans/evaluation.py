@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes
-from taxolith.operators import evaluate, scopes
+from taxolith.operators import evaluate, scopes, select
 from taxolith.plans.queries import query, r6, table
+from taxolith.sources import tables
 
 #: Values of six families drawn from a number, and the text that states them.
 VALUES = """CASE WHEN n % 3 <> 0 THEN n % 7 + 10 END AS d, CASE n % 4 WHEN 1 THEN 'WMA' WHEN 2 THEN 'HMA' END AS p, CASE n % 11 WHEN 1 THEN '25,30' WHEN 2 THEN '30,37' END AS s,
@@ -74,3 +75,34 @@ def scored_output(spark, sf_dir):
         r6("levels_labelled.usage").alias("labelled_usage"), r6("cascade.subtype_given_usage").alias("subtype_given_usage"), "false_skips", "whitespace_only", "skips_with_unit", r6("lenient.precision").alias("lenient_precision"), F.col("hit_at_1.hits").alias("hit_1"), F.col("hit_at_2.hits").alias("hit_2"),
         r6("item_rows.needs_review_share").alias("item_review_share"), r6("helped.value").alias("helped"), r6("review_load.per_100").alias("review_per_100"), r6("mean_cost").alias("mean_cost"), "mean_latency",
     )
+
+
+#: Which points are not measured in each case, and the case's bar.
+CASES = {"whole": ("false", 0.85), "strict": ("ord <= 2 AND lang = 'en'", 0.85), "near": ("ord = 7 AND lang = 'en'", 0.85), "loose": ("ord = 8 AND lang = 'en'", 0.85), "high": ("ord = 1", 0.999), "none": ("lang = 'en'", 0.85)}
+POINTS = """WITH p AS (SELECT lang, n_chars % 8 AS k, quality = 1 AS c FROM documents JOIN labels USING (doc_id)), full_ AS (SELECT ord, lang, count(*) FILTER (WHERE k < ord) AS matched, count(*) FILTER (WHERE k < ord AND c) AS correct FROM p, range(1, 9) o(ord) GROUP BY 1, 2),
+cases AS (SELECT * FROM (VALUES """ + ", ".join(f"('{name}', {bar})" for name, (_, bar) in CASES.items()) + """) v(name, bar)),
+x AS (SELECT name, bar, ord, lang, CASE WHEN NOT gone THEN matched END AS matched, CASE WHEN NOT gone THEN correct END AS correct FROM (SELECT *, CASE name """ + " ".join(f"WHEN '{name}' THEN {gone}" for name, (gone, _) in CASES.items()) + """ END AS gone FROM full_ CROSS JOIN cases)),
+y AS (SELECT *, coalesce(first_value(correct IGNORE NULLS) OVER (PARTITION BY name, lang ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), (SELECT count(*) FROM p WHERE p.lang = x.lang)) AS top FROM x),
+b AS (SELECT name, ord, bool_and(matched IS NOT NULL) AS measured, sum(top) AS ceiling FROM y GROUP BY 1, 2), s AS (SELECT name, ord, unnest(['all', 'lang:' || lang]) AS scope, matched, correct, bar FROM y WHERE (name, ord) IN (SELECT name, ord FROM b WHERE measured)),
+q AS (SELECT name, scope, ord, bool_and(matched >= 10 AND correct / matched >= bar) AS ok, sum(correct) AS correct FROM s GROUP BY 1, 2, 3), m AS (SELECT name, scope, max(ord) FILTER (WHERE ok) AS loosest FROM q GROUP BY 1, 2),
+z AS (SELECT m.*, (SELECT correct FROM q WHERE q.name = m.name AND q.scope = m.scope AND q.ord = m.loosest) AS best FROM m), t AS (SELECT *, CASE WHEN loosest IS NULL THEN (SELECT min(ord) FROM q WHERE q.name = z.name AND q.scope = z.scope) ELSE (SELECT min(ord) FROM q WHERE q.name = z.name AND q.scope = z.scope AND ok AND correct >= best - 3) END AS ord FROM z),
+u AS (SELECT name, count(*) AS n, max(ord) AS last, max(ceiling) AS top FROM b WHERE NOT measured GROUP BY 1), r AS (SELECT c.name, CASE WHEN n IS NULL THEN NULL WHEN t.name IS NULL THEN 'nothing is measured' WHEN loosest IS NULL THEN 'no measured threshold meets the bar' WHEN last > loosest THEN 'looser than the loosest that qualifies' WHEN top >= best - 3 THEN 'a ceiling reaches the window' END AS refused
+  FROM cases c LEFT JOIN u USING (name) LEFT JOIN t ON t.name = c.name AND t.scope = 'all')
+"""
+
+
+@query(POINTS + """SELECT r.name AS "case", coalesce(scope, 'all') AS scope, 'T' || ord AS threshold, CASE WHEN scope IS NULL THEN NULL WHEN loosest IS NULL THEN 'fallback' ELSE 'qualified' END AS how, 'T' || loosest AS loosest, refused FROM r LEFT JOIN t USING (name)""")
+def checked_selection(spark, sf_dir):
+    """The rule over thresholds of which some are not measured: what it takes, and where that must be refused."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") % 8).alias("k"))
+    pairs = docs.join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("c")), "doc_id").groupBy("lang", "k").agg(F.count("*").alias("n"), F.count_if("c").alias("c"))
+    each = pairs.select("*", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ord"))
+    full = each.groupBy("ord", "lang").agg(F.sum(F.when(F.col("k") < F.col("ord"), F.col("n")).otherwise(0)).alias("matched"), F.sum(F.when(F.col("k") < F.col("ord"), F.col("c")).otherwise(0)).alias("correct"))
+    full, labelled = tables.written(full, "points"), tables.written(pairs.groupBy("lang").agg(F.sum("n").alias("n")), "labelled")
+    found = None
+    for name, (gone, bar) in CASES.items():
+        seen = lambda c, gone=gone: F.when(~F.expr(gone), F.col(c)).alias(c)
+        points = full.select(F.concat(F.lit("T"), "ord").alias("threshold"), "ord", "lang", seen("matched"), seen("correct"), F.lit(0.0).alias("bound"))
+        one = select.checked_selection(points, labelled, bar, least=10).select(F.lit(name).alias("case"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
