@@ -504,9 +504,9 @@ def bootstrap_band(spark, sf_dir):
 
 GRAMS = r"""
 WITH texts AS (SELECT 'l' AS side, p_partkey AS id, p_name || ' ' || p_type AS text FROM part UNION ALL SELECT 'b', -1 - item_id, text FROM benchmark),
-w AS (SELECT side, id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM texts),
+w AS (SELECT side, id, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1) AS at_ FROM texts),
 cg AS (SELECT 'c' AS kind, side, id, substr(p, i::int, n::int) AS gram FROM (SELECT side, id, ' ' || w || ' ' AS p, n, unnest(range(1, greatest(length(w) + 2 - n + 1, 1) + 1)) AS i FROM w CROSS JOIN (SELECT unnest([3, 4, 5]) AS n) WHERE length(w) + 2 >= n OR n = 3)),
-wg AS (SELECT 'w', side, id, w FROM w WHERE length(w) >= 2),
+ww AS (SELECT side, id, w, lead(w) OVER (PARTITION BY side, id ORDER BY at_) AS nxt FROM w WHERE length(w) >= 2), wg AS (SELECT 'w', side, id, w FROM ww UNION ALL SELECT 'w', side, id, w || ' ' || nxt FROM ww WHERE nxt IS NOT NULL),
 tf AS (SELECT kind, side, id, gram, 1 + ln(count(*)) AS tf FROM (SELECT * FROM cg UNION ALL SELECT * FROM wg) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM texts), idf AS (SELECT kind, gram, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY ALL),
 v AS (SELECT kind, side, id, gram, tf * idf AS w, sqrt(sum((tf * idf) ^ 2) OVER (PARTITION BY kind, side, id)) AS norm FROM tf JOIN idf USING (kind, gram)),
