@@ -30,6 +30,14 @@ def thresholds(spark: SparkSession, passes: int) -> DataFrame:
     return spark.createDataFrame(rows, "threshold string, ord int, min_v int, min_b int, min_bucket int")
 
 
+def met(lines: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates with lines: how many of lines(votes, agrees, confidence, tie) reach each. Lines are counted by signals first."""
+    cells = lines.groupBy(F.col("votes").cast("int").alias("v"), F.col("agrees").cast("int").alias("b"), bucket(F.col("confidence")).alias("k"), "tie").agg(F.count("*").alias("n"))
+    reached = (F.struct("v", "b", "k") >= F.struct(F.col("min_v").alias("v"), F.col("min_b").alias("b"), F.col("min_bucket").alias("k"))) & ~F.col("tie")
+    joined = F.broadcast(candidates).join(cells, F.lit(True))  # a handful of thresholds, a handful of signals
+    return joined.groupBy(*candidates.columns).agg(F.sum(F.when(reached, F.col("n")).otherwise(0)).alias("lines"))
+
+
 def failed_signals(v: Column, b: Column, k: Column, tie: Column) -> Column:
     """Names of the signals below the threshold, joined by +; a tie fails v."""
     return F.array_join(F.array_compact(F.array(F.when((v < F.col("min_v")) | tie, "v"), F.when(b < F.col("min_b"), "b"), F.when(k < F.col("min_bucket"), "confidence"))), "+")

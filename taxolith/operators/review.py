@@ -57,6 +57,23 @@ def weakest_gap(gap: Column) -> Column:
     return F.get(names, (F.min(F.array_position(names, gap)) - 1).cast("int"))
 
 
+def votes_read(answers: DataFrame, passes: int, line: str = "line") -> DataFrame:
+    """line, top1, votes, gap of lines with a valid answer in every pass, of which a material is the single most frequent kind.
+
+    answers: line, pass_no, valid, kind, top1, gap. The leader is the most frequent code, of equals the one of the earliest
+    pass; its gap is the weakest among its own supporters. Answers are counted by line and code, then by line.
+    """
+    kinds = ("material", "non_material", "no_equivalent")
+    of = lambda k: F.count_if(F.col("valid") & (F.col("kind") == k))
+    codes = answers.groupBy(line, "top1").agg(
+        F.count("*").alias("n"), F.count_if("valid").alias("votes"), F.min("pass_no").alias("first"), F.min(F.array_position(F.array(*map(F.lit, GAPS)), F.col("gap"))).alias("weakest"), *[of(k).alias(k) for k in kinds]
+    )
+    best = F.max(F.struct("votes", (-F.col("first")).alias("early"), "top1", "weakest")).alias("best")
+    g = codes.groupBy(line).agg(F.sum("n").alias("n"), F.sum("votes").alias("valid"), *[F.sum(k).alias(k) for k in kinds], best)
+    read = g.where((F.col("n") == passes) & (F.col("valid") == passes) & (F.col("material") > F.greatest("non_material", "no_equivalent")))
+    return read.select(line, "best.top1", "best.votes", F.get(F.array(*map(F.lit, GAPS)), (F.col("best.weakest") - 1).cast("int")).alias("gap"))
+
+
 def unanimous_answers(answers: DataFrame, passes: int, line: str = "line") -> DataFrame:
     """line, top1 of lines whose passes are complete, all for a material and all on one code. answers: line, kind, top1."""
     g = answers.groupBy(line).agg(F.count("*").alias("n"), F.min("top1").alias("top1"), F.max("top1").alias("_last"), F.bool_and(F.col("kind").eqNullSafe("material")).alias("_material"), F.count("top1").alias("_valid"))

@@ -98,6 +98,14 @@ def codeless_paths(rows: DataFrame) -> DataFrame:
     return joined.select("file", "position", "kind", "is_context", "run", F.coalesce(path, F.array().cast(PATH)).alias("path"))
 
 
+def paths(rows: DataFrame) -> DataFrame:
+    """file, position, path: by codes in files that have any, by runs of titles in the others."""
+    coded = F.max((~blank("code")).cast("int")).over(Window.partitionBy("file")) == 1
+    marked = rows.withColumn("_coded", coded)
+    with_codes, without = (marked.where(c).drop("_coded") for c in (F.col("_coded"), ~F.col("_coded")))
+    return section_paths(with_codes).unionByName(codeless_paths(without).select("file", "position", "path"))
+
+
 #: Characters of a field that are kept for a request.
 CAPS = {"code": 64, "text": 1_000, "long": 4_000}
 

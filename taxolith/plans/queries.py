@@ -266,9 +266,13 @@ def decision_histogram(spark, sf_dir):
     return decide.decided(decision_rows(spark, sf_dir)).groupBy("decision", "reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0::bigint AS violations")
+@query(DECISIONS + """, b AS (SELECT line, rule, CASE WHEN line % 50 = 7 THEN 'matched' WHEN line % 70 = 9 THEN NULL ELSE decision END AS decision, CASE WHEN line % 60 = 11 THEN '' ELSE reason END AS reason, decision AS right_ FROM decided)
+SELECT count(*) AS violations FROM b WHERE decision IS NULL OR decision <> right_ OR reason = ''""")
 def decision_invariants(spark, sf_dir):
-    return decide.violations(decide.decided(decision_rows(spark, sf_dir))).agg(F.count("*").alias("violations"))
+    """Decisions of which some were broken on purpose: those that no rule gives."""
+    n, d = F.col("line"), decide.decided(decision_rows(spark, sf_dir))
+    broken = d.withColumns({"decision": F.when(n % 50 == 7, "matched").when(n % 70 == 9, None).otherwise(F.col("decision")), "reason": F.when(n % 60 == 11, "").otherwise(F.col("reason"))})
+    return decide.violations(broken).agg(F.count("*").alias("violations"))
 
 
 @query("""SELECT event_id, CASE WHEN json_valid(raw) AND kind = 'lines' THEN json_extract_string(raw, '$.lines[0].top1') END AS top1, NOT (kind = 'lines') AS malformed
@@ -397,9 +401,14 @@ def selection_rule(spark, sf_dir):
     return chosen.withColumn("worst", r6("worst"))
 
 
-@query("""SELECT * FROM (VALUES ('T1',1,5,1,3),('T2',2,5,1,2),('T3',3,5,1,1),('T4',4,5,1,0),('T5',5,5,0,3),('T6',6,5,0,2),('T7',7,5,0,1),('T8',8,5,0,0)) t(threshold, ord, min_v, min_b, min_bucket)""")
+@query(TALLY + """, t AS (SELECT * FROM (VALUES ('T1',1,5,1,3),('T2',2,5,1,2),('T3',3,5,1,1),('T4',4,5,1,0),('T5',5,5,0,3),('T6',6,5,0,2),('T7',7,5,0,1),('T8',8,5,0,0)) t(threshold, ord, min_v, min_b, min_bucket)),
+l AS (SELECT CASE WHEN line % 3 = 0 THEN 5 ELSE votes END AS v, (line % 5 = 1)::INT AS b, CASE WHEN weakest >= 90 THEN 3 WHEN weakest >= 80 THEN 2 WHEN weakest >= 70 THEN 1 ELSE 0 END AS k, tie FROM tally)
+SELECT t.*, (SELECT count(*) FROM l WHERE NOT tie AND (v > min_v OR v = min_v AND (b > min_b OR b = min_b AND k >= min_bucket))) AS lines FROM t""")
 def candidate_thresholds(spark, sf_dir):
-    return decide.thresholds(spark, 5)
+    """The thresholds of five passes and how many lines reach each; every third line counts as unanimous."""
+    n = F.col("line")
+    lines = votes.tally(votes_of(spark, sf_dir)).select(F.when(n % 3 == 0, 5).otherwise(F.col("votes")).alias("votes"), (n % 5 == 1).alias("agrees"), F.col("weakest").alias("confidence"), "tie")
+    return decide.met(lines, decide.thresholds(spark, 5))
 
 
 # --- run log --------------------------------------------------------------------------------------------------------
@@ -527,7 +536,8 @@ def tfidf_top1(spark, sf_dir):
 
 @query("""SELECT 'orphan_lines' AS "check", count(*) AS violations FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT 'duplicate_orders', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'unknown_status', count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P')
-UNION ALL SELECT 'row_loss', 0 UNION ALL SELECT 'cost_total', 0""")
+UNION ALL SELECT 'row_loss', (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45)) - 2 * (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45) JOIN orders ON l_orderkey = o_orderkey) + (SELECT count(*) FROM orders)
+UNION ALL SELECT 'cost_total', (SELECT (abs(sum(CASE WHEN l_returnflag = 'R' THEN 1.01 ELSE 1 END * l_quantity) - sum(l_quantity)) > 1e-6 * greatest(sum(l_quantity), 1))::INT FROM lineitem) UNION ALL SELECT 'cost_total_kept', 0""")
 def dq_checks(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     parts = lines.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("q"))
@@ -535,8 +545,9 @@ def dq_checks(spark, sf_dir):
         "orphan_lines": checks.orphans(lines, "l_orderkey", orders, "o_orderkey"),
         "duplicate_orders": checks.duplicates(orders, ["o_orderkey"]),
         "unknown_status": checks.outside(orders, "o_orderstatus", ["O", "F", "P"]),
-        "row_loss": checks.differences(orders.select("o_orderkey"), orders.select("o_orderkey")),
-        "cost_total": checks.totals_differ(parts, "q", lines, "l_quantity", 1e-6),
+        "row_loss": checks.differences(orders.select("o_orderkey"), lines.where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()),
+        "cost_total": checks.totals_differ(parts.withColumn("q", F.when(F.col("l_returnflag") == "R", F.col("q") * 1.01).otherwise(F.col("q"))), "q", lines, "l_quantity", 1e-6),
+        "cost_total_kept": checks.totals_differ(parts, "q", lines, "l_quantity", 1e-6),
     })
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolith.functions.text import header_key
+from taxolith.functions.text import header_key, line_id
+from taxolith.operators import structure
 
 RAW = "file string, encoding string, delimiter string, position int, raw_row array<string>"
 
@@ -68,28 +69,56 @@ def column_map(header: list[str], aliases: dict[str, tuple[str, ...]] = ALIASES)
     return {n: at[0] for n, at in found.items()}
 
 
-def fitted(raw_row: Column, width: Column) -> Column:
-    """As many cells as the header: short rows are padded, blank cells too many are dropped, others are an error; a row of no cells stays so."""
-    extra = F.slice(raw_row, width + 1, F.greatest(F.size(raw_row) - width, F.lit(0)))
-    wrong = F.exists(extra, lambda c: F.trim(c) != "")
-    padded = F.concat(raw_row, F.array_repeat(F.lit(""), F.greatest(width - F.size(raw_row), F.lit(0))))
-    return F.when(F.size(raw_row) == 0, raw_row).when(wrong, F.raise_error(F.lit("a row has more cells than the header")).cast("array<string>")).otherwise(F.slice(padded, F.lit(1), width))
+LINES = "file string, encoding string, delimiter string, header array<string>, position int, item_no string, short string, long string, unit string, qty string, extra map<string,string>, raw_row array<string>"
+
+
+def fit(row: list[str], width: int, name: str, position: int) -> list[str]:
+    """As many cells as the header: short rows are padded, blank cells too many are dropped, others are an error."""
+    if any(cell.strip() for cell in row[width:]):
+        raise ValueError(f"{name}: row {position} has more cells than the header")
+    return row[:width] + [""] * (width - len(row))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, position (from 1), item_no, short, long, unit, qty, raw_row of files with one header each.
+    """file, encoding, delimiter, header, position (from 1), item_no, short, long, unit, qty, extra, raw_row of files with one header each.
+
+    A file's header is resolved where the file is parsed. extra has the cells of other columns by name; raw_row is the row
+    as it is written again, of no cells for a blank line. Files without a header, without a column or with a row that is too
+    long are errors.
+    """
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                text, encoding = decoded(bytes(content))
+                delimiter, rows = records(text)
+                if not rows:
+                    raise ValueError(f"no header in {name}")
+                header, at = rows[0], column_map(rows[0])
+                others = [k for k in range(len(header)) if k not in at.values()]
+                for start in range(1, len(rows), 10_000):
+                    part = []
+                    for k, row in enumerate(rows[start : start + 10_000], start):
+                        cells = fit(row, len(header), name, k)
+                        part.append((name, encoding, delimiter, header, k, *[cells[at[c]] for c in ALIASES], {header[o]: cells[o] for o in others}, cells if row else []))
+                    yield pd.DataFrame(part, columns=[f.split(" ")[0] for f in LINES.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, LINES)
+
+
+def read_boq(spark: SparkSession, path: str, header_patterns: tuple[str, ...] = ()) -> DataFrame:
+    """read_lines() with line_id, kind, path (outermost header first), oversized: names of fields beyond their caps.
 
-    Headers are few: they are brought to the driver, one a file, to resolve names; rows stay where they are.
+    Files with a code take their paths from codes, the others from runs of titles; both kinds may lie in one folder.
     """
-    raw = read_raw(spark, path)
-    heads = {r.file: r.raw_row for r in raw.where("position = 0").select("file", "raw_row").collect()}
-    if not heads:
-        raise ValueError(f"no header in {path}")
-    maps = {f: column_map(h) for f, h in heads.items()}
-    names = list(ALIASES)
-    table = spark.createDataFrame([(f, len(heads[f]), *[m[n] for n in names]) for f, m in maps.items()], "file string, _width int, " + ", ".join(f"_{n} int" for n in names))
-    rows = raw.where("position > 0").join(F.broadcast(table), "file").withColumn("raw_row", fitted(F.col("raw_row"), F.col("_width")))
-    return rows.select("file", "position", *[F.coalesce(F.get("raw_row", F.col(f"_{n}")), F.lit("")).alias(n) for n in names], "raw_row")
+    raw = read_lines(spark, path)
+    shaped = raw.select("file", "position", F.col("item_no").alias("code"), F.col("short").alias("text"), "long", "unit", "qty")
+    rows = structure.classified(shaped, list(header_patterns))
+    found = structure.paths(rows).select("file", "position", "path")
+    joined = raw.join(rows.select("file", "position", "kind", F.array_join(structure.oversized(), ",").alias("_over")), ["file", "position"]).join(found, ["file", "position"])
+    over = F.transform(F.filter(F.split("_over", ","), lambda n: n != ""), lambda n: F.when(n == "code", "item_no").when(n == "text", "short").otherwise(n))
+    # positions in identifiers count from 0
+    return joined.select(raw["*"], line_id(F.col("position") - 1, F.col("item_no"), F.col("short"), F.col("long")).alias("line_id"), "kind", "path", over.alias("oversized"))
 
 
 def csv_line(columns: list[str], delimiter: str = ",") -> Column:

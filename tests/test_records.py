@@ -317,3 +317,84 @@ def test_enriched_tree(spark):
     payload = {(r.batch, r.type): r.payload for r in enrich.verifier_payload(lines, coded).collect()}
     assert "<" not in payload[1, "A"] and json.loads(payload[1, "A"])["lines"][0]["long"] == "<b>" and [c["code"] for c in json.loads(payload[1, "A"])["candidates"]] == ["T01.U01.S00", "T01.U01.S01"]
     assert list(itertools.chain(payload)) == [(1, "A"), (2, "B")] or len(payload) == 2
+
+
+# --- reader, outputs and votes --------------------------------------------------------------------------------------
+
+
+def test_read_boq(spark, tmp_path):
+    from taxolith.sources import delimited
+
+    (tmp_path / "a.csv").write_bytes("Item No.,Short Description,Long Description,Unit,BoQ Qty,Note\r\n1,Roads,,,,n\r\n1.1,\"Kerb, grey\",laid,m,5,\r\n,,,,,\r\n2.1,Wall,,m,2\r\n\r\n".encode())
+    (tmp_path / "b.csv").write_bytes("N°;Désignation;Descriptif;Unité;Qté\nx;y;z;m;1".replace("x;y;z;m;1", ";Lot 1;;;\n;Béton " + "é" * 1000 + ";;m;3\n;Fin;;;").encode("cp1252"))
+    rows = delimited.read_boq(spark, str(tmp_path)).orderBy("file", "position").collect()
+    a, b = [r for r in rows if r.file.endswith("a.csv")], [r for r in rows if r.file.endswith("b.csv")]
+    assert [r.kind for r in a] == ["header", "item", "empty_row", "item"] and [[h.text for h in r.path] for r in a] == [[], ["Roads"], [], []]
+    assert a[0].extra == {"Note": "n"} and a[3].raw_row == ["2.1", "Wall", "", "m", "2", ""] and a[1].short == "Kerb, grey"
+    assert [r.kind for r in b] == ["header_unconfirmed", "item", "header_unconfirmed"] and [[h.text for h in r.path] for r in b] == [[], ["Lot 1"], ["Lot 1"]]
+    assert b[1].oversized == ["short"] and a[1].oversized == [] and b[0].encoding == "cp1252" and len({r.line_id for r in rows}) == len(rows)
+    (tmp_path / "c.csv").write_bytes(b"Item No.,Short,Long,Unit,Qty\n1,a,b,m,1,extra\n")
+    with pytest.raises(Exception, match="more cells"):
+        delimited.read_boq(spark, str(tmp_path)).collect()
+
+
+def test_votes_read(spark):
+    from taxolith.operators import review
+
+    rnd = random.Random(9)
+    rows = [(line, p, rnd.random() > 0.05, rnd.choice(["material", "material", "material", "non_material", "no_equivalent"]), rnd.choice("xyz"), rnd.choice(review.GAPS)) for line in range(300) for p in range(3 if line % 17 else 2)]
+    want = {}
+    for line, own in itertools.groupby(rows, key=lambda r: r[0]):
+        own = list(own)
+        kinds = collections.Counter(r[3] for r in own).most_common()
+        if len(own) != 3 or not all(r[2] for r in own) or kinds[0][0] != "material" or len(kinds) > 1 and kinds[0][1] == kinds[1][1]:
+            continue
+        codes = collections.Counter(r[4] for r in own)
+        leader = next(r[4] for r in own if codes[r[4]] == max(codes.values()))
+        want[line] = (leader, codes[leader], min((r[5] for r in own if r[4] == leader), key=review.GAPS.index))
+    answers_ = spark.createDataFrame(rows, "line int, pass_no int, valid boolean, kind string, top1 string, gap string")
+    assert {r.line: (r.top1, r.votes, r.gap) for r in review.votes_read(answers_, 3).collect()} == want and want
+
+
+def test_top1_against_all_pairs(spark):
+    import math
+
+    from taxolith.operators import similarity
+
+    rnd = random.Random(12)
+    words = ["béton", "armé", "concrete", "pipe", "grey", "wall", "Straße", "kerb", "an", "of", "tube", "dalle"]
+    lines = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 6)))) for i in range(60)] + [(90, ""), (91, "zzz qqq"), (92, None)]
+    library = [(i, " ".join(rnd.choices(words, k=4))) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, text string")
+    got = {r.line: (r.row, r.score) for r in similarity.top1(frame(lines), frame(library), frame(lines + library)).collect()}
+
+    def fold(t):
+        import unicodedata
+
+        return "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower()
+
+    def grams(t):
+        w = fold(t).split()
+        out = collections.Counter()
+        for x in w:
+            p = f" {x} "
+            for n in (3, 4, 5):
+                out.update("c" + p[k : k + n] for k in range(len(p) - n + 1))
+        w = [x for x in w if len(x) > 1]
+        out.update("w" + x for x in w)
+        out.update("w" + a + " " + b for a, b in itertools.pairwise(w))
+        return out
+
+    corpus = [grams(t) for _, t in lines + library]
+    df = collections.Counter(g for c in corpus for g in c)
+
+    def vector(t):
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(corpus)) / (1 + df[g])) + 1) for g, n in grams(t).items()}
+        norm = {k: math.sqrt(2 * sum(x * x for g, x in v.items() if g[0] == k)) for k in "cw"}
+        return {g: x / norm[g[0]] for g, x in v.items()}
+
+    rows = {i: vector(t) for i, t in library}
+    for i, t in lines:
+        v = vector(t)
+        best = max(((round(sum(x * r.get(g, 0) for g, x in v.items()), 9), -k) for k, r in rows.items()), default=(0, 0))
+        assert (i in got) == (best[0] > 0) and (i not in got or (got[i][0] == -best[1] and abs(got[i][1] - best[0]) < 1e-8))
