@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolith.operators import enrich, lineage, review
+from taxolith.operators import enrich, lineage, requirements, review
 from taxolith.plans.queries import query, r6, table
 
 ROW = """WITH d AS (SELECT doc_id, lang, source, n_chars AS n, text, CASE n_chars % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'needs_review' ELSE 'not_a_material' END AS decision FROM documents),
@@ -94,3 +94,47 @@ def suspect_lines(spark, sf_dir):
     answers = answers_of(spark, sf_dir)
     reference = answers.select("line").distinct().select("line", *three(F.col("line") % 3))
     return review.suspects(review.unanimous_answers(answers, 5), coded, reference)
+
+
+#: Documents as an output of which some rows were broken on purpose; n is the length of the text.
+BROKEN = """WITH d AS (SELECT doc_id, lang, source, text, n_chars AS n, CASE WHEN n_chars % 97 = 0 THEN NULL WHEN n_chars % 101 = 0 THEN 'maybe' ELSE ['matched', 'needs_review', 'not_a_material'][n_chars % 3 + 1] END AS decision, ['HEADER', 'G2_SERVICE', 'G2_SERVICE', 'EMPTY_ROW', 'SIGNAL'][n_chars % 5 + 1] AS reason,
+  CASE n_chars % 7 WHEN 0 THEN 'h' WHEN 1 THEN ' hr ' ELSE 'm' END AS unit FROM documents),
+p AS (SELECT 'rows' AS requirement, doc_id::VARCHAR AS item, CASE WHEN n % 103 = 0 THEN 'missing' WHEN n % 107 = 0 THEN 'changed' END AS problem FROM d UNION ALL SELECT 'rows', (-1 - doc_id)::VARCHAR, 'new' FROM d WHERE n % 109 = 0
+  UNION ALL SELECT 'decisions', doc_id::VARCHAR, 'unknown' FROM d WHERE n % 103 <> 0 AND (decision IS NULL OR decision = 'maybe')
+  UNION ALL SELECT 'closed_world', doc_id::VARCHAR, CASE WHEN decision = 'matched' AND n % 11 = 0 THEN 'no row of the library' WHEN coalesce(decision, '') <> 'matched' AND n % 13 = 0 THEN 'labels without a match' END FROM d WHERE n % 103 <> 0
+  UNION ALL SELECT 'skips', doc_id::VARCHAR, CASE WHEN reason = 'SIGNAL' THEN 'reason' WHEN reason = 'G2_SERVICE' AND unit NOT IN ('h', ' hr ') THEN 'unit' WHEN reason = 'G2_SERVICE' AND regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(th an|of the)($|[^\\p{L}\\p{N}_])') THEN 'supply marker' END FROM (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS flat FROM d) WHERE n % 103 <> 0 AND decision = 'not_a_material'
+  UNION ALL SELECT 'audit', 'L' || doc_id, CASE WHEN n % 113 = 0 THEN 'missing' WHEN n % 127 = 0 THEN 'repeated' WHEN n % 131 = 0 THEN 'out of order' END FROM d UNION ALL SELECT 'audit', 'X' || doc_id, 'unknown line' FROM d WHERE n % 137 = 0
+  UNION ALL SELECT 'calls', doc_id::VARCHAR, 'unknown call' FROM d WHERE n % 103 <> 0 AND n % 139 = 0 UNION ALL SELECT 'calls', 'c' || doc_id, 'lacks cost' FROM d WHERE n % 139 <> 0 AND n % 149 = 0 UNION ALL SELECT 'models', m, 'not allowed' FROM (SELECT DISTINCT 'x-' || (n % 3) AS m FROM d WHERE n % 139 <> 0 AND n % 3 > 0)
+  UNION ALL SELECT 'latency', 'r2', 'too slow')
+"""
+
+
+@query(BROKEN + """SELECT requirement, problem, count(*) AS n, array_to_string((list(item ORDER BY length(item), item))[1:5], ',') AS examples FROM p WHERE problem IS NOT NULL GROUP BY 1, 2""")
+def broken_requirements(spark, sf_dir):
+    """Every requirement on an output, its audit and its calls, over documents of which some were broken on purpose."""
+    n, ident = F.col("n_chars"), F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents")
+    unit = F.when(n % 7 == 0, "h").when(n % 7 == 1, " hr ").otherwise("m")
+    lines = d.select(F.col("doc_id").alias("position"), F.concat(F.lit("L"), ident).alias("line_id"), F.array("lang", "source").alias("raw_row"), unit.alias("unit"), "text")
+    pick = lambda k, *names: F.get(F.array(*map(F.lit, names)), (n % k).cast("int"))
+    decision = F.when(n % 97 == 0, None).when(n % 101 == 0, "maybe").otherwise(pick(3, "matched", "needs_review", "not_a_material"))
+    labelled = F.coalesce(decision == "matched", F.lit(False)) | (n % 13 == 0)
+    there = d.where(n % 103 != 0).select(
+        F.col("doc_id").alias("position"), F.array("lang", F.when(n % 107 == 0, "?").otherwise(F.col("source")), F.lit("x")).alias("cells"), decision.alias("decision"), pick(5, "HEADER", "G2_SERVICE", "G2_SERVICE", "EMPTY_ROW", "SIGNAL").alias("reason"),
+        F.when(labelled, F.when(n % 11 == 0, "no").otherwise(F.col("lang"))).otherwise("").alias("type"), F.when(labelled, F.col("source")).otherwise("").alias("usage"), F.lit("").alias("subtype"), F.array(F.concat(F.lit("c"), ident)).alias("call_ids"),
+    )
+    new = d.where(n % 109 == 0).select((-1 - F.col("doc_id")).alias("position"), F.array("lang").alias("cells"))
+    library = d.select(F.col("lang").alias("type"), F.col("source").alias("usage"), F.lit("").alias("subtype"))
+    record = F.struct(F.concat(F.lit("L"), ident).alias("line_id"), F.when(n % 131 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("position"))
+    stranger = F.when(n % 137 == 0, F.struct(F.concat(F.lit("X"), ident).alias("line_id"), (F.col("doc_id") + 2_000_000_000).alias("position")))
+    copies = F.array_compact(F.array(F.when(n % 113 != 0, record), F.when((n % 113 != 0) & (n % 127 == 0), record), stranger))
+    audit = d.select(F.inline(copies)).select("line_id", "position", F.array().cast("array<string>").alias("call_ids"), F.array(F.lit("raw")).alias("raw"))
+    calls = d.where(n % 139 != 0).select(F.concat(F.lit("c"), ident).alias("call_id"), F.when(n % 149 != 0, n / 1e6).alias("cost"), F.lit(None).cast("string").alias("error"), F.when(n % 3 == 0, "m-1").otherwise(F.concat(F.lit("x-"), n % 3)).alias("requested"), F.lit("m-2").alias("served"))
+    runs = d.sparkSession.createDataFrame([("r1", "live", 0, 10.0, 10), ("r2", "live", 0, 30.0, 10), ("r3", "replay", 0, 99.0, 1)], "run string, mode string, cache_hits int, wall_s double, routed int")
+    answered = there.withColumn("reason", F.lit("HEADER"))  # rows without an audit record have no text to ask for
+    found = [
+        requirements.rows_kept(lines, there.select("position", "cells").unionByName(new)), requirements.decisions_known(there), requirements.closed_world(there, library),
+        requirements.skips_backed(there, lines, ["h"], {"hr": "h"}, ["th an", "of the"]), requirements.audit_complete(lines, audit, answered, calls, ["cost", "requested"]),
+        requirements.models_allowed(calls, ["m-*", "local:<=8B"]), requirements.latency_kept(runs),
+    ]
+    return requirements.report(found)
