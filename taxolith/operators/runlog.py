@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolith.operators.ranks import nearest_ranks
+
 
 def attributed(calls: DataFrame) -> DataFrame:
     """calls(call_id, ord, line_ids, cost, latency_ms) → line_id, cost, latency_ms, call_ids in order: a call's cost and time are split evenly over its lines."""
@@ -21,17 +23,13 @@ def priced(calls: DataFrame, pricing: DataFrame, per_tokens: float = 1e6) -> Dat
     return joined.withColumn("cost", F.when(F.col("input_price").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.col("model"))).cast("double")).otherwise(cost)).drop("input_price", "output_price", "read_price", "write_price")
 
 
-def nearest_rank(column: str, percent: float) -> Column:
-    """Nearest-rank percentile: a value that occurs."""
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{column}`)")
-
-
 def summary(calls: DataFrame, by: list[str]) -> DataFrame:
-    """Calls, cache hits, spend without hits, p50 and p95 latency, failures, per group."""
-    return calls.groupBy(*by).agg(
-        F.count("*").alias("calls"), F.count_if("cache_hit").alias("hits"), F.sum(F.when(~F.col("cache_hit"), F.col("cost")).otherwise(0.0)).alias("spend"),
-        nearest_rank("latency_ms", 50).alias("p50_ms"), nearest_rank("latency_ms", 95).alias("p95_ms"), F.count_if(F.col("error").isNotNull()).alias("failures"),
+    """Calls, cache hits, spend without hits, p50 and p95 latency by nearest rank, failures, per group."""
+    counts = calls.groupBy(*by).agg(
+        F.count("*").alias("calls"), F.count_if("cache_hit").alias("hits"), F.sum(F.when(~F.col("cache_hit"), F.col("cost")).otherwise(0.0)).alias("spend"), F.count_if(F.col("error").isNotNull()).alias("failures"),
     )
+    ranks = nearest_ranks(calls, by, "latency_ms", {"p50_ms": 50, "p95_ms": 95})
+    return counts.join(ranks, by, "left").select(*by, "calls", "hits", "spend", "p50_ms", "p95_ms", "failures")
 
 
 def occurrence(df: DataFrame, key: list[str], order: list[str], name: str = "occ") -> DataFrame:

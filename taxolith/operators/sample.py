@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolith.operators.ranks import numbered
+
 
 def alternating(rows: DataFrame, strata: list[str], order: str) -> DataFrame:
     """rows with side: dev and held_out in turn within each stratum."""
-    n = F.row_number().over(Window.partitionBy(*strata).orderBy(order)) - 1
-    return rows.withColumn("side", F.when(n % 2 == 0, "dev").otherwise("held_out"))
+    return numbered(rows, strata, [order], "_n").withColumn("side", F.when(F.col("_n") % 2 == 0, "dev").otherwise("held_out")).drop("_n")
 
 
 def allocation(populations: DataFrame, stratum: str, size: int) -> DataFrame:
@@ -28,17 +29,21 @@ def stratified(rows: DataFrame, stratum: str, key: str, size: int, salt: str) ->
     n = allocation(rows.groupBy(stratum).agg(F.count("*").alias("population")), stratum, size)
     digest = F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(digest, key)))
-    return ranked.join(F.broadcast(n), stratum).where(F.col("_rank") <= F.col("n")).drop("_rank", "n")
+    # no stratum is allotted more than size: each task keeps so many of it before the shuffle
+    return ranked.where(F.col("_rank") <= size).join(F.broadcast(n), stratum).where(F.col("_rank") <= F.col("n")).drop("_rank", "n")
 
 
 def bootstrap_band(items: DataFrame, by: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
     """by, resamples, low, high: 2.5 and 97.5 % of precision over resamples of items(matched, correct).
 
-    Rows are first counted per cell, so a resample is one multinomial draw of the cells, not a row per item.
+    Rows are first counted per cell, so a resample is one multinomial draw of the cells, not a row per item. The draw is
+    that of numpy's default generator with the seed, over a group's cells in the order (matched, correct), false first:
+    equal counts and seeds give equal bands wherever they run.
     """
     cells = items.groupBy(*by, "matched", "correct").agg(F.count("*").alias("n"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["matched", "correct"])
         n = pdf["n"].to_numpy()
         w = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), resamples)
         matched = w @ pdf["matched"].to_numpy().astype(int)

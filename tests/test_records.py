@@ -398,3 +398,42 @@ def test_top1_against_all_pairs(spark):
         v = vector(t)
         best = max(((round(sum(x * r.get(g, 0) for g, x in v.items()), 9), -k) for k, r in rows.items()), default=(0, 0))
         assert (i in got) == (best[0] > 0) and (i not in got or (got[i][0] == -best[1] and abs(got[i][1] - best[0]) < 1e-8))
+
+
+def test_numbers_within_groups(spark):
+    from taxolith.operators import ranks
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["big", "big", "big", "small", None]), rnd.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.numbered(df, ["g"], ["v", "i"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for g in ("big", "small", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: k for k, r in enumerate(own)}
+    assert {r.i: r.number for r in got} == want
+    values = {g: sorted(r[1] for r in rows if r[0] == g and r[1] is not None) for g in ("big", "small", None)}
+    near = lambda v, p: v[max(-(-len(v) * p // 100), 1) - 1]
+    assert {r.g: (r.a, r.b) for r in ranks.nearest_ranks(df, ["g"], "v", {"a": 50, "b": 95}).collect()} == {g: (near(v, 50), near(v, 95)) for g, v in values.items()}
+    assert ranks.numbered(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_bootstrap_band_against_rows(spark):
+    """Resampled row by row: the share of rows of each cell decides, so bands agree up to the draw."""
+    import numpy as np
+
+    from taxolith.operators import sample
+
+    items = [("a", i % 3 > 0, i % 7 > 1) for i in range(400)] + [("b", False, True)] * 5
+    df = spark.createDataFrame(items, "g string, matched boolean, correct boolean")
+    got = {r.g: r for r in sample.bootstrap_band(df, ["g"], 4000, 7).collect()}
+    again = {r.g: r for r in sample.bootstrap_band(df.repartition(7), ["g"], 4000, 7).collect()}
+    assert got == again and got["b"].resamples == 0 and got["b"].low is None
+    m, c = (np.array([r[k] for r in items if r[0] == "a"]) for k in (1, 2))
+    pick = np.random.default_rng(1).integers(0, len(m), (4000, len(m)))
+    low, high = np.percentile((m & c)[pick].sum(1) / m[pick].sum(1), [2.5, 97.5])
+    assert abs(got["a"].low - low) < 0.01 and abs(got["a"].high - high) < 0.01
