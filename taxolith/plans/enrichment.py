@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from taxolith.operators import enrich
 from taxolith.plans.queries import TAXONOMY, query, table, taxonomy_of
+from taxolith.sources import library, tables
+from taxolith.sources.delimited import csv_line
 
 ALSO = TAXONOMY + """, leaf AS (SELECT p_type AS type, p_brand AS usage, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS subtype, 'size ' || p_size AS kind, p_name, p_size FROM part),
 eq AS (SELECT type, NULL::VARCHAR AS usage, NULL::VARCHAR AS subtype, list_sort(list(DISTINCT p_name)) AS also FROM leaf WHERE p_size % 3 = 0 GROUP BY 1 UNION ALL SELECT type, usage, NULL, list_sort(list(DISTINCT kind)) FROM leaf WHERE p_size % 5 = 0 GROUP BY 1, 2
@@ -52,3 +54,15 @@ def verifier_payloads(spark, sf_dir):
         F.concat("lang", F.lit(" > <x>")).alias("section_path"), F.col("source").alias("short"), F.col("text").alias("long"), F.lit("").alias("unit"), F.lit("1").alias("qty"),
     )
     return enrich.verifier_payload(lines, coded).select("batch", "type", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@query(TAXONOMY + """, z AS (SELECT *, count(*) OVER (PARTITION BY parent) = 1 AS sole_child, subtype = '' AND count(*) FILTER (WHERE subtype <> '') OVER (PARTITION BY parent) > 0 AS generic_parent FROM coded)
+SELECT code, type, usage, subtype, sole_child, generic_parent, (SELECT ceil(sum(3 * length(code) + length(type) + length(usage) + length(subtype) + 24) / 3)::BIGINT FROM coded) AS tokens, (SELECT count(*) FROM (SELECT 1 FROM part GROUP BY p_type, p_brand, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END HAVING count(*) > 1)) AS repeated FROM z""")
+def library_files(spark, sf_dir):
+    """The parts written as a delimited file and loaded again as a library, with its estimated size and repeated rows."""
+    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("other"), F.col("p_type").alias("a"), F.col("p_brand").alias("b"), F.when(F.col("p_size") % 7 == 0, "").otherwise(F.col("p_name")).alias("c"))
+    head = spark.range(1).select(F.lit("Other; Material_Type ;material_usage;MATERIAL_SUBTYPE").alias("value"))
+    path = tables.folder(spark, "library")
+    head.unionAll(part.select(csv_line(["other", "a", "b", "c"], ";").alias("value"))).coalesce(1).write.text(path)  # a library is one file
+    found = library.load_library(spark, path, most_tokens=1 << 40)
+    return found.rows.select("code", "type", "usage", "subtype", "sole_child", "generic_parent", F.lit(found.tokens).alias("tokens"), F.lit(found.repeated).cast("long").alias("repeated"))

@@ -437,3 +437,44 @@ def test_bootstrap_band_against_rows(spark):
     pick = np.random.default_rng(1).integers(0, len(m), (4000, len(m)))
     low, high = np.percentile((m & c)[pick].sum(1) / m[pick].sum(1), [2.5, 97.5])
     assert abs(got["a"].low - low) < 0.01 and abs(got["a"].high - high) < 0.01
+
+
+# --- libraries and tables to be scored ------------------------------------------------------------------------------
+
+
+def test_library_files(spark, tmp_path):
+    from taxolith.sources import library
+
+    def load(data, name="lib.csv", **limits):
+        folder = tmp_path / str(abs(hash((data, name))))
+        folder.mkdir(exist_ok=True)
+        (folder / name).write_bytes(data.encode("utf-8-sig"))
+        return library.load_library(spark, str(folder), **limits)
+
+    head = "x;Material_Type; material_usage ;MATERIAL_SUBTYPE\n"
+    found = load(head + '1;Pipe;Sewer;"a; b"\n\n2;Pipe;Sewer;\n3;Pipe;Sewer;"a; b"\n4;Éclat;U;z;;\n')
+    rows = {r.code: (r.type, r.usage, r.subtype) for r in found.rows.collect()}
+    assert found.repeated == 1 and not found.large and set(rows.values()) == {("Pipe", "Sewer", "a; b"), ("Pipe", "Sewer", ""), ("Éclat", "U", "z")} and rows["T01.U01.S00"] == ("Pipe", "Sewer", "")
+    for data, said in (("", "no header"), ("material_type,material_usage\na,b\n", "no column"), ("material_type,material_usage,material_subtype,Material_Type\n", "more than one"), (head, "no rows"), (head + "1;a;b\n", "fields"), (head + "1;a;b;c;d\n", "fields"), (head + "1; ;b;c\n", "blank")):
+        with pytest.raises(Exception, match=said):
+            load(data)
+    with pytest.raises(ValueError, match="tokens"):
+        load(head + "1;a;b;c\n", most_tokens=5)
+    assert load(head + "1;a;b;c\n", warn_tokens=5).large
+
+
+def test_tables_to_be_scored(spark, tmp_path):
+    from taxolith.sources import library
+
+    assert library.resolved(["Item No", "Type", "usage"])["labels"] is None and library.resolved(["a", "Ref"], "ref")["key"] == 1 and library.resolved(["N° article"], "zz")["key"] == 0
+    (tmp_path / "ref").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "ref" / "r.csv").write_text("Item No.,material_type,material_usage,material_subtype\n01.01.0001.,A,B,C\n01.01.0002.,nan,,\nheader,,,\n01.01.0003.,A,B,D\n")
+    (tmp_path / "out" / "o.csv").write_text("Item No.,decision,material_type,material_usage,material_subtype,cost_usd,suggested_type,suggested_usage,suggested_subtype\n01.01.0001.,matched,A,B,C,0.5,A,B,C\n01.01.0002.,needs_review,,,,x,A,B,C\n01.01.0003.,matched,A,B,C,,,,\n")
+    ref, out = (library.read_scored(spark, str(tmp_path / d)) for d in ("ref", "out"))
+    assert ref.where("position = 2").first().nan_cells == 1 and ref.first().decision is None and [r.cost for r in out.orderBy("position").collect()] == [0.5, None, None]
+    listed = spark.createDataFrame([("01.01.0002.", "E")], "key string, class string")
+    pairs = library.joined_pairs(ref, out, listed)
+    assert {r.key: (r["class"], r.decision) for r in pairs.collect()} == {"01.01.0001.": ("L", "matched"), "01.01.0002.": ("E", "needs_review"), "header": ("H", None), "01.01.0003.": ("L", "matched")}
+    r = scopes.score_output(pairs, [[]]).first()
+    assert (r.precision.correct, r.precision.matched, r.coverage_material.denominator, r.counts.missing) == (1, 2, 3, 1)
