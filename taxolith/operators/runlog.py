@@ -32,6 +32,40 @@ def summary(calls: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(ranks, by, "left").select(*by, "calls", "hits", "spend", "p50_ms", "p95_ms", "failures")
 
 
+def histogram(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """by, name: a map from each value of the column to its count, values in order."""
+    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "_n")))).alias(name))
+
+
+def run_mode(adapter: Column, cached_calls: Column) -> Column:
+    """Where a run's answers came from: replay and fake adapters say so, else any answer from a cache makes it cached."""
+    return F.when(adapter.isin("replay", "fake"), adapter).when(cached_calls > 0, "cached").otherwise("live")
+
+
+def run_report(lines: DataFrame, calls: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row for each of runs(run, adapter): counts, histograms, usage, latency of routed lines, cost of 100 lines, exit code.
+
+    lines: run, decision, reason, kind, cost, latency_ms, n_calls; calls: run, cache_hit, retry, cost, cache_read,
+    cache_write. Both are summed by run before they meet; reasons and decisions are few.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    a = lines.groupBy("run").agg(F.count("*").alias("lines"), F.count_if(F.col("kind") == "item").alias("routed"), total(F.col("cost")).alias("attributed_cost"), F.count_if(F.col("reason") == "LLM_UNAVAILABLE").alias("unavailable"))
+    b = calls.groupBy("run").agg(
+        F.count("*").alias("calls"), F.count_if("retry").alias("retries"), F.count_if("cache_hit").alias("cache_hits"), total(F.when(~F.col("cache_hit"), F.col("cost")).otherwise(0.0)).alias("spend"), total(F.col("cache_read")).alias("cache_read"), total(F.col("cache_write")).alias("cache_write")
+    )
+    latency = nearest_ranks(lines.where("n_calls > 0"), ["run"], "latency_ms", {"p50_ms": 50, "p95_ms": 95})
+    out = runs
+    for part in (a, b, histogram(lines, ["run"], "decision", "decisions"), histogram(lines, ["run"], "reason", "reasons"), latency):
+        out = out.join(part, "run", "left")
+    counts = ["lines", "routed", "calls", "retries", "cache_hits", "cache_read", "cache_write", "unavailable"]
+    filled = out.fillna(0, counts).fillna(0.0, ["attributed_cost", "spend"])
+    per_100 = F.when(F.col("lines") > 0, F.col("attributed_cost") * 100 / F.col("lines")).otherwise(0.0)
+    return filled.select(
+        "run", run_mode(F.col("adapter"), F.col("cache_hits")).alias("mode"), *counts[:-1], "decisions", "reasons", "spend", "attributed_cost", per_100.alias("cost_per_100"), "p50_ms", "p95_ms", F.when(F.col("unavailable") > 0, 3).otherwise(0).alias("exit_code")
+    )
+
+
 def occurrence(df: DataFrame, key: list[str], order: list[str], name: str = "occ") -> DataFrame:
     """df with the 0-based number of each row among those of its key."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)

@@ -228,9 +228,9 @@ def plurality_vote(spark, sf_dir):
     return votes.tally(votes_of(spark, sf_dir))
 
 
-def decision_rows(spark, sf_dir) -> DataFrame:
-    """Tallied lines with every fact the decision table reads, drawn from the line's number, and threshold T7 of two votes."""
-    t = votes.tally(votes_of(spark, sf_dir))
+def decision_rows(spark, sf_dir, passes: DataFrame | None = None) -> DataFrame:
+    """Tallied lines with every fact the decision table reads, drawn from the line's number, and threshold T7 of two votes; passes are the events' votes unless given."""
+    t = votes.tally(votes_of(spark, sf_dir) if passes is None else passes)
     n = F.col("line")
     return t.select(
         "line", "leader", "votes", "tie", F.col("weakest").alias("confidence"),

@@ -478,3 +478,57 @@ def test_tables_to_be_scored(spark, tmp_path):
     assert {r.key: (r["class"], r.decision) for r in pairs.collect()} == {"01.01.0001.": ("L", "matched"), "01.01.0002.": ("E", "needs_review"), "header": ("H", None), "01.01.0003.": ("L", "matched")}
     r = scopes.score_output(pairs, [[]]).first()
     assert (r.precision.correct, r.precision.matched, r.coverage_material.denominator, r.counts.missing) == (1, 2, 3, 1)
+
+
+# --- requirements, verifier, report ---------------------------------------------------------------------------------
+
+
+def test_requirements(spark):
+    from taxolith.operators import requirements as q
+
+    said = lambda df: sorted((r.item, r.problem) for r in df.collect())
+    lines = spark.createDataFrame([(1, "a", ["x", "y"], "h", "Mowing"), (2, "b", ["z"], "m", "Supply  OF pipe"), (3, "c", [], "hr", "supply of"), (4, "d", ["q"], "h", None)], "position int, line_id string, raw_row array<string>, unit string, text string")
+    out = spark.createDataFrame([(1, ["x", "y", "o"], "not_a_material", "", "", "", "G2_SERVICE", ["k1"]), (2, ["Z", "o"], "matched", "T", "U", "S", "SIGNAL", ["k2"]), (3, ["o"], "not_a_material", "T", "", "", "G2_SERVICE", []), (5, ["n"], "what", "", "", "", "r", ["k9"])], "position int, cells array<string>, decision string, type string, usage string, subtype string, reason string, call_ids array<string>")
+    library = spark.createDataFrame([("T", "U", "other")], "type string, usage string, subtype string")
+    assert said(q.rows_kept(lines, out)) == [("2", "changed"), ("4", "missing"), ("5", "new")] and said(q.decisions_known(out)) == [("5", "unknown")]
+    assert said(q.closed_world(out, library)) == [("2", "no row of the library"), ("3", "labels without a match")]
+    assert said(q.skips_backed(out, lines, ["h"], {"hr": "h"}, ["supply of"])) == [("3", "supply marker")]
+    assert said(q.skips_backed(out, lines, ["H"], {}, ["supply of"])) == [("1", "unit"), ("3", "unit")]
+    audit = spark.createDataFrame([("a", 1, ["k1"], ["t"]), ("b", 3, ["k3"], []), ("c", 2, [], ["t"]), ("c", 4, [], ["t"]), ("zz", 9, [], [])], "line_id string, position int, call_ids array<string>, raw array<string>")
+    calls = spark.createDataFrame([("k1", 1.0, None, "m", "m"), ("k2", None, None, "m", "n"), ("k3", None, "timeout", "m", None)], "call_id string, cost double, error string, requested string, served string")
+    assert said(q.audit_complete(lines, audit, out, calls, ["cost"])) == [("3", "no text"), ("5", "no text"), ("5", "unknown call"), ("b", "out of order"), ("c", "repeated"), ("d", "missing"), ("k2", "lacks cost"), ("zz", "unknown line")]
+    assert said(q.models_allowed(calls, ["m*"])) == [("n", "not allowed")] and said(q.models_allowed(calls, ["m*", "?"])) == []
+    models = spark.createDataFrame([("local:llama3.1:8b",), ("local:x:70B",), ("local:x",), ("Mini",), ("mini-4",)], "m string")
+    assert [r.a for r in models.select(q.allowed_model(F.col("m"), ["local:<=8B", "mini-*"]).alias("a")).collect()] == [True, False, False, False, True]
+    cost = spark.createDataFrame([(1.0,), (2.0,)], "cost double")
+    assert said(q.cost_kept(cost, cost, 3.0, 1000)) == [] and said(q.cost_kept(cost, cost.limit(1), 3.0)) == [("run", "lines don't sum to calls"), ("run", "over the limit"), ("run", "spend is not the calls'")]
+    runs_ = spark.createDataFrame([("a", "live", 0, 9.0, 3), ("b", "live", 0, 1.0, 0), ("c", "live", 1, 9.0, 1), ("d", "live", 0, 2.0, 1)], "run string, mode string, cache_hits int, wall_s double, routed int")
+    assert said(q.latency_kept(runs_)) == [("a", "too slow"), ("b", "nothing routed")]
+    assert said(q.columns(["a", "c"], ["a", "b"], cost)) == [("2", "name")] and said(q.columns(["a"], ["a", "b"], cost)) == [("2", "number")] and said(q.columns(["a"], ["a"], cost)) == []
+    assert {(r.problem, r.n, r.examples) for r in q.report([q.rows_kept(lines, out)], 1).collect()} == {("changed", 1, "2"), ("missing", 1, "4"), ("new", 1, "5")}
+
+
+def test_verifier_stage(spark):
+    from taxolith.operators import verify
+
+    coded = spark.createDataFrame([("c1", "T"), ("c2", "T"), ("d1", "D")], "code string, type string")
+    leaders = spark.createDataFrame([(1, "c1"), (2, "c1"), (3, "c1"), (4, "c2"), (5, "d1"), (6, "d1"), (7, "d1")], "line int, leader string")
+    asked = verify.sibling_rows(leaders, coded)
+    assert {r.line: r.candidates for r in asked.collect()}[4] == ["c1", "c2"]
+    outcomes = spark.createDataFrame([(1, "c1", None), (2, "c2", None), (3, "d1", None), (4, "NONE", None), (5, None, "timeout"), (6, None, "BUDGET_CAP")], "line int, code string, failure string")
+    answers_ = verify.verifier_lines(asked, outcomes)
+    assert {r.line: (r.answer, r.failure) for r in answers_.collect()} == {1: ("c1", None), 2: ("c2", None), 3: (None, "invalid_code"), 4: ("NONE", None), 5: (None, "timeout"), 6: (None, "BUDGET_CAP"), 7: (None, "replay_miss")}
+    assert tuple(verify.unanswered(answers_).first()) == (7, 2)
+    decided = leaders.unionByName(spark.createDataFrame([(8, "c1")], "line int, leader string")).select("*", F.when(F.col("line") == 1, "D9").when(F.col("line") == 8, "D7").otherwise("D9").alias("rule"), F.lit("matched").alias("decision"), F.lit("SIGNAL").alias("reason"))
+    assert {r.line: r.rule for r in verify.verified(decided, answers_).collect()} == {1: "D9", 2: "D8a", 3: "D1b", 4: "D8a", 5: "D1b", 6: "D1b", 7: "D1b", 8: "D7"}
+
+
+def test_run_report(spark):
+    from taxolith.operators import runlog
+
+    lines = spark.createDataFrame([("a", "matched", "S", "item", 1.0, 10, 1), ("a", "needs_review", "LLM_UNAVAILABLE", "item", 0.0, 99, 0), ("b", "matched", "S", "header", 2.0, 5, 1)], "run string, decision string, reason string, kind string, cost double, latency_ms long, n_calls int")
+    calls = spark.createDataFrame([("a", False, True, 1.5, 3, 4), ("a", True, False, 9.0, 1, 0)], "run string, cache_hit boolean, retry boolean, cost double, cache_read int, cache_write int")
+    named = spark.createDataFrame([("a", "http"), ("b", "replay"), ("c", "http")], "run string, adapter string")
+    r = {x.run: x for x in runlog.run_report(lines, calls, named).collect()}
+    assert (r["a"]["mode"], r["a"].calls, r["a"].retries, r["a"].spend, r["a"].cache_read, r["a"].p95_ms, r["a"].cost_per_100, r["a"].exit_code) == ("cached", 2, 1, 1.5, 4, 10, 50.0, 3)
+    assert r["a"].decisions == {"matched": 1, "needs_review": 1} and r["b"]["mode"] == "replay" and r["b"].calls == 0 and r["b"].routed == 0 and (r["c"].lines, r["c"].cost_per_100, r["c"]["mode"]) == (0, 0.0, "live")
