@@ -12,8 +12,14 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.StringType())
 def _folded(text: pd.Series) -> pd.Series:
-    """NFKC and case folding, which no built-in function gives (lower() keeps ß and ligatures)."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate({0x2205: "ø", 0x2300: "ø", 0xD8: "ø"}).casefold())
+    """NFKC and case folding, which no built-in function gives (lower() keeps ß and ligatures); plain ASCII is lower-cased."""
+
+    def one(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t and t.lower()
+        return unicodedata.normalize("NFKC", t).translate({0x2205: "ø", 0x2300: "ø", 0xD8: "ø"}).casefold()
+
+    return text.map(one)
 
 
 def tail(folded: Column) -> Column:

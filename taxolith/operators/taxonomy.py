@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolith.functions.text import row_id
+from taxolith.functions.text import normalize, row_id
 
 
 def deduplicated(rows: DataFrame, order: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _ranked(rows: DataFrame, columns: list[str], norm) -> DataFrame:
     return ranked.unionByName(distinct.where(F.col(value) == "").withColumn("rank", F.lit(0)).drop("_n"))
 
 
-def assign_codes(rows: DataFrame, norm=F.lower) -> DataFrame:
+def assign_codes(rows: DataFrame, norm=normalize) -> DataFrame:
     """rows with code Txx.Uyy.Szz, parent code and row_id; numbers are as wide as the level's largest, two digits at least."""
     triples = rows.select("type", "usage", "subtype").distinct()
     out = triples
@@ -43,7 +43,7 @@ def structure(coded: DataFrame) -> DataFrame:
     return coded.select("*", (n == 1).alias("sole_child"), ((F.col("subtype") == "") & (n > blanks)).alias("generic_parent"))
 
 
-def confusable(coded: DataFrame, norm=F.lower) -> DataFrame:
+def confusable(coded: DataFrame, norm=normalize) -> DataFrame:
     """Codes of one type that share a subtype's normal form, two or more."""
     groups = coded.where(F.col("subtype") != "").groupBy("type", norm(F.col("subtype")).alias("norm_subtype")).agg(F.array_sort(F.collect_list("code")).alias("codes"))
     return groups.where(F.size("codes") >= 2)
