@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolith.functions.canonical import quoted
 from taxolith.functions.text import normalize
 from taxolith.operators.similarity import phrase_matches
 
@@ -86,24 +85,3 @@ def enriched_tree(coded: DataFrame, equivalents: DataFrame, reverse: bool = Fals
     ordered = F.array_sort("rows", below) if reverse else F.array_sort("rows")
     return rows.select("type_code", F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("document"))
 
-
-#: Characters of markup, which a request writes as JSON escapes so that no line can close the envelope it stands in.
-MARKUP = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026"}
-
-
-def verifier_payload(lines: DataFrame, coded: DataFrame) -> DataFrame:
-    """batch, type, payload: a batch's flagged lines of a type with all rows of the type as candidates, as one JSON object.
-
-    lines: batch, id, type and the fields item_no, section_path, short, long, unit, qty; batches are as small as a request
-    may be. Keys are sorted, items follow ", " and ": ".
-    """
-    fields = ("id", "item_no", "long", "qty", "section_path", "short", "unit")
-    spaced = lambda pairs: F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in pairs]), F.lit("}"))
-    ours = lines.groupBy("batch", "type").agg(F.array_sort(F.collect_list(F.struct("id", spaced([(f, quoted(F.coalesce(F.col(f), F.lit("")))) for f in fields]).alias("text")))).alias("lines"))
-    row = spaced([("code", quoted(F.col("code"))), ("subtype", quoted(F.col("subtype"))), ("usage", quoted(F.col("usage")))])
-    rows = coded.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("code", row.alias("text")))).alias("rows"))
-    texts = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x["text"]), ", "), F.lit("]"))
-    body = spaced([("candidates", texts("rows")), ("lines", texts("lines")), ("type", quoted(F.col("type")))])
-    for char, escape in MARKUP.items():
-        body = F.replace(body, F.lit(char), F.lit(escape))
-    return ours.join(rows, "type").select("batch", "type", body.alias("payload"))

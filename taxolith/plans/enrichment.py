@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolith.operators import enrich
+from taxolith.operators import enrich, requests
 from taxolith.plans.queries import TAXONOMY, query, table, taxonomy_of
 from taxolith.sources import library, tables
 from taxolith.sources.delimited import csv_line
@@ -40,8 +40,8 @@ def enriched_tree(spark, sf_dir):
     return tree.select("type_code", F.sha2("document", 256).alias("document_sha256"))
 
 
-@query(TAXONOMY + """, l AS (SELECT doc_id // 20 AS batch, 'L' || doc_id AS id, (SELECT list(type ORDER BY type) FROM t)[n_chars % (SELECT count(*) FROM t) + 1] AS type, doc_id, lang, source, text FROM documents),
-a AS (SELECT batch, type, string_agg('{"id": "' || id || '", "item_no": "' || doc_id || '", "long": ' || to_json(text)::VARCHAR || ', "qty": "1", "section_path": "' || lang || ' > <x>", "short": ' || to_json(source)::VARCHAR || ', "unit": ""}', ', ' ORDER BY id) AS x FROM l GROUP BY 1, 2),
+@query(TAXONOMY + """, l AS (SELECT doc_id // 20 AS batch, doc_id, (SELECT list(type ORDER BY type) FROM t)[n_chars % (SELECT count(*) FROM t) + 1] AS type, '{"id": "L' || doc_id || '", "long": ' || to_json(text)::VARCHAR || ', "path": "' || lang || ' > <x>", "short": ' || to_json(source)::VARCHAR || ', "unit": ""}' AS rec FROM documents),
+a AS (SELECT batch, type, string_agg(rec, ', ' ORDER BY doc_id) AS x FROM l GROUP BY 1, 2),
 b AS (SELECT type, string_agg('{"code": "' || code || '", "subtype": ' || to_json(subtype)::VARCHAR || ', "usage": ' || to_json(usage)::VARCHAR || '}', ', ' ORDER BY code) AS y FROM coded GROUP BY 1)
 SELECT batch, type, sha256(replace(replace(replace('{"candidates": [' || y || '], "lines": [' || x || '], "type": ' || to_json(type)::VARCHAR || '}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS payload_sha256 FROM a JOIN b USING (type)""")
 def verifier_payloads(spark, sf_dir):
@@ -50,10 +50,10 @@ def verifier_payloads(spark, sf_dir):
     types = coded.select("type").distinct().agg(F.array_sort(F.collect_list("type")).alias("types"))  # a dictionary: one row
     docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(types))
     lines = docs.select(
-        F.floor(F.col("doc_id") / 20).alias("batch"), F.concat(F.lit("L"), "doc_id").alias("id"), F.get("types", (F.col("n_chars") % F.size("types")).cast("int")).alias("type"), F.col("doc_id").cast("string").alias("item_no"),
-        F.concat("lang", F.lit(" > <x>")).alias("section_path"), F.col("source").alias("short"), F.col("text").alias("long"), F.lit("").alias("unit"), F.lit("1").alias("qty"),
+        F.floor(F.col("doc_id") / 20).alias("batch"), F.col("doc_id").alias("position"), F.concat(F.lit("L"), "doc_id").alias("id"), F.get("types", (F.col("n_chars") % F.size("types")).cast("int")).alias("type"),
+        F.concat("lang", F.lit(" > <x>")).alias("path"), F.col("source").alias("short"), F.col("text").alias("long"), F.lit("").alias("unit"),
     )
-    return enrich.verifier_payload(lines, coded).select("batch", "type", F.sha2("payload", 256).alias("payload_sha256"))
+    return requests.verifier_payload(lines, coded).select("batch", "type", F.sha2("payload", 256).alias("payload_sha256"))
 
 
 @query(TAXONOMY + """, z AS (SELECT *, count(*) OVER (PARTITION BY parent) = 1 AS sole_child, subtype = '' AND count(*) FILTER (WHERE subtype <> '') OVER (PARTITION BY parent) > 0 AS generic_parent FROM coded)
@@ -66,3 +66,11 @@ def library_files(spark, sf_dir):
     head.unionAll(part.select(csv_line(["other", "a", "b", "c"], ";").alias("value"))).coalesce(1).write.text(path)  # a library is one file
     found = library.load_library(spark, path, most_tokens=1 << 40)
     return found.rows.select("code", "type", "usage", "subtype", "sole_child", "generic_parent", F.lit(found.tokens).alias("tokens"), F.lit(found.repeated).cast("long").alias("repeated"))
+
+
+@query("""WITH l AS (SELECT doc_id // 10 AS batch, doc_id, '{"id": "L' || doc_id || '", "long": ' || to_json(text)::VARCHAR || ', "path": ' || to_json(lang || ' & ' || source)::VARCHAR || ', "short": "", "unit": "m"}' AS rec FROM documents)
+SELECT batch, sha256('<boq_lines>' || chr(10) || replace(replace(replace('{"lines": [' || string_agg(rec, ', ' ORDER BY doc_id) || ']}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || chr(10) || '</boq_lines>') AS payload_sha256 FROM l GROUP BY 1""")
+def user_payloads(spark, sf_dir):
+    """Documents as lines of batches of ten, each batch as the message that is sent."""
+    lines = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("batch"), F.col("doc_id").alias("position"), F.concat(F.lit("L"), "doc_id").alias("id"), F.concat_ws(" & ", "lang", "source").alias("path"), F.lit("").alias("short"), F.col("text").alias("long"), F.lit("m").alias("unit"))
+    return requests.user_payload(lines).select("batch", F.sha2("payload", 256).alias("payload_sha256"))

@@ -312,9 +312,15 @@ def test_enriched_tree(spark):
     assert docs["T01"] == "T01 A [also: alpha; a]\n  T01.U01 u\n    T01.U01.S00\n    T01.U01.S01 x [also: ex]" and docs["T02"].startswith("T02 B\n")
     back = {r.type_code: r.document for r in enrich.enriched_tree(coded, also, reverse=True).collect()}
     assert back["T01"].split("\n")[2:] == ["    T01.U01.S01 x [also: ex]", "    T01.U01.S00"]
-    lines = spark.createDataFrame([(1, "L1", "A", "<b>"), (1, "L2", "A", None), (2, "L3", "B", "")], "batch int, id string, type string, long string")
-    lines = lines.select("*", *[F.lit("").alias(c) for c in ("item_no", "section_path", "short", "unit", "qty")])
-    payload = {(r.batch, r.type): r.payload for r in enrich.verifier_payload(lines, coded).collect()}
+    from taxolith.operators import requests
+
+    lines = spark.createDataFrame([(1, 1, "L1", "A", "<b>"), (1, 2, "L2", "A", None), (2, 3, "L3", "B", "")], "batch int, position int, id string, type string, long string")
+    lines = lines.select("*", *[F.lit("").alias(c) for c in ("path", "short", "unit")])
+    user = {r.batch: r.payload for r in requests.user_payload(lines).collect()}
+    assert json.loads(user[1].removeprefix("<boq_lines>\n").removesuffix("\n</boq_lines>"))["lines"][0] == {"id": "L1", "long": "<b>", "path": "", "short": "", "unit": ""} and user[1].count("<") == 2
+    with pytest.raises(Exception, match="twice in batch 1"):
+        requests.user_payload(lines.unionByName(lines.limit(1))).collect()
+    payload = {(r.batch, r.type): r.payload for r in requests.verifier_payload(lines, coded).collect()}
     assert "<" not in payload[1, "A"] and json.loads(payload[1, "A"])["lines"][0]["long"] == "<b>" and [c["code"] for c in json.loads(payload[1, "A"])["candidates"]] == ["T01.U01.S00", "T01.U01.S01"]
     assert list(itertools.chain(payload)) == [(1, "A"), (2, "B")] or len(payload) == 2
 
@@ -532,3 +538,39 @@ def test_run_report(spark):
     r = {x.run: x for x in runlog.run_report(lines, calls, named).collect()}
     assert (r["a"]["mode"], r["a"].calls, r["a"].retries, r["a"].spend, r["a"].cache_read, r["a"].p95_ms, r["a"].cost_per_100, r["a"].exit_code) == ("cached", 2, 1, 1.5, 4, 10, 50.0, 3)
     assert r["a"].decisions == {"matched": 1, "needs_review": 1} and r["b"]["mode"] == "replay" and r["b"].calls == 0 and r["b"].routed == 0 and (r["c"].lines, r["c"].cost_per_100, r["c"]["mode"]) == (0, 0.0, "live")
+
+
+def test_experiments(spark):
+    from taxolith.operators import experiments as x
+
+    three = "struct<type:string,usage:string,subtype:string>"
+    ledger = spark.createDataFrame([("a", "en", 1, "old"), ("a", "en", 3, "new"), ("a", "fr", 2, None)], "id string, lang string, n int, note string")
+    assert sorted(map(tuple, x.latest(ledger, ["id", "lang"], "n").collect())) == [("a", "en", 3, "new"), ("a", "fr", 2, None)]
+    ref = spark.createDataFrame([("i1", "A", "B", "C"), ("i2", "A", "B", ""), ("i3", "", None, ""), ("i4", "A", "B", "C")], "item string, type string, usage string, subtype string")
+    library = spark.createDataFrame([("A", "B", "C")], "type string, usage string, subtype string")
+    assert tuple(x.reference_coverage(ref, library).first()) == (1, 2, 0.5, True) and not x.reference_coverage(ref, library.limit(0)).first().usable
+    pairs = spark.createDataFrame([("i1", "matched", ("A", "B", "C"), ("A", "B", "C")), ("i1", "needs_review", None, ("A", "B", "C")), ("i2", "matched", ("A", "B", "x"), ("A", "B", "")), ("i3", "matched", ("", "", ""), ("", "", ""))], f"item string, decision string, out {three}, ref {three}")
+    items = x.item_correctness(pairs)
+    assert {r.item: r.correct for r in items.collect()} == {"i1": 1, "i2": 0}
+    assert {r.item: r.delta for r in x.compared(items.withColumn("correct", F.lit(0)), items).collect()} == {"i1": 1, "i2": 0}
+    with pytest.raises(Exception, match="only one output"):
+        x.compared(items, items.limit(1)).collect()
+    first = spark.createDataFrame([("i1", "matched", "k", ("A", "B", "C")), ("i2", "needs_review", "k", ("A", "x", ""))], f"item string, decision string, top1 string, suggested {three}")
+    second = spark.createDataFrame([("i1", ["k", "", "k"], ("A", "z", "")), ("i2", ["j"], ("A", "B", ""))], f"item string, pass_top1 array<string>, suggested {three}")
+    got = {r.item: tuple(r)[1:] for r in x.agreement(x.joined_votes(first, second), ref).collect()}
+    assert got == {"i1": ("matched", 2, True, False, True), "i2": ("needs_review", 0, False, True, True)}
+    with pytest.raises(Exception, match="same items"):
+        x.joined_votes(first, second.limit(1)).collect()
+    figures = lambda p: spark.createDataFrame([("en", "shipped", 10, 9, 0.9), ("en", "rescue", 14, 13, p), ("fr", "shipped", 5, 5, 1.0), ("fr", "rescue", 0, 5, None)], "lang string, policy string, matched int, correct int, precision double")
+    assert tuple(x.vote_verdict(figures(0.93), "rescue").first()) == (4, True, True) and tuple(x.vote_verdict(figures(0.8), "rescue").first()) == (4, False, False)
+    replays = spark.createDataFrame([("T1", "r1", 1, 2), ("T1", "r2", 2, 0), ("T1", "r3", 3, 0), ("T2", "r1", 1, 1)], "threshold string, run string, ord int, unanswered int")
+    assert {r.threshold: r.run for r in x.first_answering(replays).collect()} == {"T1": "r2", "T2": None}
+    audit = spark.createDataFrame([(3, ["c", "a"]), (1, ["b", "a"]), (2, [])], "position int, call_ids array<string>")
+    assert {r.call_id: r["index"] for r in x.batch_indices(audit).collect()} == {"b": 0, "a": 1, "c": 2}
+    groups = x.strata(ref, ref.where("item <> 'i4'"), spark.createDataFrame([("i3", "E")], "item string, class string"), F.lit("s"))
+    assert {r["class"]: (r.n, r.first) for r in groups.collect()} == {"L": (2, "i1"), "E": (1, "i3")}
+    out = spark.createDataFrame([("i1", "EVIDENCE_NOT_IN_LINE", ("A", "B", "C")), ("i2", "EVIDENCE_NOT_IN_LINE", ("A", "B", "C")), ("i4", "x", ("A", "B", "C"))], f"item string, reason string, suggested {three}")
+    raw = spark.createDataFrame([("i1", ['{"evidence": "q"}', "bad"])], "item string, raw array<string>")
+    assert [(r.item, r.evidence) for r in x.false_rejects(out, raw, ref).collect()] == [("i1", ["q", None])]
+    lines = spark.createDataFrame([("matched", False), ("needs_review", True), ("not_a_material", False)], "decision string, valid_code boolean")
+    assert [r.decision for r in x.match_all(lines).collect()] == ["needs_review", "matched", "not_a_material"]
