@@ -13,17 +13,18 @@ def blank(name: str) -> Column:
 
 
 def classified(rows: DataFrame, header_patterns: list[str] = ()) -> DataFrame:
-    """rows with kind: empty_row, item, header or header_unconfirmed; a header's code is a strict prefix of the next code below."""
-    # read upwards, the nearest code below is the last one seen: a running frame, not one taken anew for every row
-    below = Window.partitionBy("file").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
-    next_code = F.last(F.when(~blank("code"), F.trim("code")), ignorenulls=True).over(below)
+    """rows with kind: empty_row, item, header or header_unconfirmed; a header's code matches a pattern whole or is a strict prefix of the next code below."""
+    # what texts say is settled before rows are sorted: texts then move only where they are asked for
     named = F.lit(False)
     for p in header_patterns:
-        named = named | F.coalesce(F.col("text"), F.lit("")).rlike(f"^(?:{p})$")
-    prefix = strict_prefix(code_segments(F.trim("code")), code_segments(F.coalesce("_next", F.lit(""))))
-    empty = blank("code") & blank("text") & blank("unit") & blank("qty")
-    kind = F.when(empty, "empty_row").when(~(blank("unit") & blank("qty")), "item").when(blank("code"), "header_unconfirmed").when(named | F.coalesce(prefix, F.lit(False)), "header").otherwise("header_unconfirmed")
-    return rows.withColumn("_next", next_code).withColumn("kind", kind).drop("_next")
+        named = named | F.coalesce(F.col("code"), F.lit("")).rlike(f"^(?:{p})$")
+    told = {"_coded": ~blank("code"), "_measured": ~(blank("unit") & blank("qty")), "_empty": blank("code") & blank("text") & blank("unit") & blank("qty"), "_named": named, "_segments": code_segments(F.trim("code"))}
+    # read upwards, the nearest code below is the last one seen: a running frame, not one taken anew for every row
+    below = Window.partitionBy("file").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1)
+    next_segments = F.last(F.when(F.col("_coded"), F.col("_segments")), ignorenulls=True).over(below)
+    prefix = strict_prefix(F.col("_segments"), F.coalesce("_next", F.array().cast("array<string>")))
+    kind = F.when(F.col("_empty"), "empty_row").when(F.col("_measured"), "item").when(~F.col("_coded"), "header_unconfirmed").when(F.col("_named") | ((F.size("_segments") > 0) & F.coalesce(prefix, F.lit(False))), "header").otherwise("header_unconfirmed")
+    return rows.withColumns(told).withColumn("_next", next_segments).withColumn("kind", kind).drop("_next", *told)
 
 
 PATH = "array<struct<item_no:string,text:string>>"
@@ -67,8 +68,8 @@ def context_runs(rows: DataFrame) -> DataFrame:
     above = w.rowsBetween(Window.unboundedPreceding, -1)
     filled = F.col("kind") != "empty_row"
     last = F.max(F.when(filled, F.col("position"))).over(Window.partitionBy("file"))
-    context = (F.col("kind") == "header_unconfirmed") & ~blank("text") & blank("long") & (F.col("position") < last)
-    flagged = rows.withColumn("is_context", F.coalesce(context, F.lit(False)))
+    context = (F.col("kind") == "header_unconfirmed") & F.col("_title") & (F.col("position") < last)
+    flagged = rows.withColumn("_title", ~blank("text") & blank("long")).withColumn("is_context", F.coalesce(context, F.lit(False))).drop("_title")
     behind = F.last(F.when(filled, F.col("is_context")), ignorenulls=True).over(above)
     begun = flagged.withColumn("_begins", F.col("is_context") & ~F.coalesce(behind, F.lit(False)))
     counted = begun.withColumns({"run": F.sum(F.col("_begins").cast("long")).over(w), "_seen": F.coalesce(F.sum(F.col("is_context").cast("long")).over(above), F.lit(0))})

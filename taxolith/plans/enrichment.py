@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolith.operators import enrich, requests
+from taxolith.operators import enrich, requests, taxonomy
 from taxolith.plans.queries import TAXONOMY, query, table, taxonomy_of
 from taxolith.sources import library, tables
 from taxolith.sources.delimited import csv_line
@@ -40,13 +40,17 @@ def enriched_tree(spark, sf_dir):
     return tree.select("type_code", F.sha2("document", 256).alias("document_sha256"))
 
 
-@query(TAXONOMY + """, l AS (SELECT doc_id // 20 AS batch, doc_id, (SELECT list(type ORDER BY type) FROM t)[n_chars % (SELECT count(*) FROM t) + 1] AS type, '{"id": "L' || doc_id || '", "long": ' || to_json(text)::VARCHAR || ', "path": "' || lang || ' > <x>", "short": ' || to_json(source)::VARCHAR || ', "unit": ""}' AS rec FROM documents),
+#: The parts' types and brands alone: a library small enough to be sent along with every request.
+COARSE = TAXONOMY.replace("CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS subtype", "'' AS subtype")
+
+
+@query(COARSE + """, l AS (SELECT doc_id // 20 AS batch, doc_id, (SELECT list(type ORDER BY type) FROM t)[n_chars % (SELECT count(*) FROM t) + 1] AS type, '{"id": "L' || doc_id || '", "long": ' || to_json(text)::VARCHAR || ', "path": "' || lang || ' > <x>", "short": ' || to_json(source)::VARCHAR || ', "unit": ""}' AS rec FROM documents),
 a AS (SELECT batch, type, string_agg(rec, ', ' ORDER BY doc_id) AS x FROM l GROUP BY 1, 2),
 b AS (SELECT type, string_agg('{"code": "' || code || '", "subtype": ' || to_json(subtype)::VARCHAR || ', "usage": ' || to_json(usage)::VARCHAR || '}', ', ' ORDER BY code) AS y FROM coded GROUP BY 1)
 SELECT batch, type, sha256(replace(replace(replace('{"candidates": [' || y || '], "lines": [' || x || '], "type": ' || to_json(type)::VARCHAR || '}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS payload_sha256 FROM a JOIN b USING (type)""")
 def verifier_payloads(spark, sf_dir):
     """Documents as flagged lines of the parts' types, batches of 20, each type's lines of a batch with its rows in one request."""
-    coded = taxonomy_of(spark, sf_dir)
+    coded = taxonomy.assign_codes(table(spark, sf_dir, "part").select(F.col("p_type").alias("type"), F.col("p_brand").alias("usage"), F.lit("").alias("subtype")))
     types = coded.select("type").distinct().agg(F.array_sort(F.collect_list("type")).alias("types"))  # a dictionary: one row
     docs = table(spark, sf_dir, "documents").crossJoin(F.broadcast(types))
     lines = docs.select(
