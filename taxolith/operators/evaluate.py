@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolith.functions import attributes
+from taxolith.sources import tables
 
 #: Families compared by equality, which a join can do, and the others, which are tested on what the join brings together.
 EQUAL = tuple(f for f in attributes.HARD if f.fits is attributes.same)
@@ -65,7 +66,8 @@ def against_library(lines: DataFrame, library: DataFrame) -> DataFrame:
     rows = library.select("label", F.col("a").alias("row"))
     joined = ours.join(rows, "label", "left")
     found = joined.select("line", "sig", F.coalesce(F.when(F.col("row").isNotNull(), attributes.compare(F.col("a"), F.col("row"))), F.lit("missing")).alias("verdict"), F.when(F.col("row").isNotNull(), attributes.conflicting(F.col("a"), F.col("row"))).alias("conflicting"))
-    counts = left_open(found.where("verdict <> 'missing'"), library.select(signature(F.col("a")).alias("sig")))
+    # a signature that many lines share must not be joined in one task: distinct signatures are few and are sent along
+    counts = tables.small(tables.written(left_open(found.where("verdict <> 'missing'"), library.select(signature(F.col("a")).alias("sig"))), "left_open"))
     return found.join(counts, "sig", "left").select("line", "verdict", "conflicting", F.when(F.col("verdict") != "missing", F.col("open")).alias("open"))
 
 

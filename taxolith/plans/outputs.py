@@ -55,10 +55,10 @@ def precision_by_gap(spark, sf_dir):
     return review.precision_by(read.select("gap", (F.col("top1") == F.concat(F.lit("c"), F.col("line") % 3)).alias("correct")), "gap").withColumn("precision", r6("precision"))
 
 
-TERMS = (("sh", "T1"), ("th an", "T2"), ("an", "T3"), ("an", "t3"), ("the of", "T4"), ("nowhere at all", "T5"), ("of", "T0"))
-WORDS = """WITH t(term, eq) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TERMS) + """), l AS (SELECT doc_id AS label, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+TERMS = (("blog", "T1"), ("example com", "T2"), ("example", "T3"), ("example", "t3"), ("com en", "T4"), ("nowhere at all", "T5"), ("html", "T0"), ("https-m", "T6"))
+WORDS = """WITH t(term, eq) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TERMS) + """), l AS (SELECT page_id AS label, list_filter(string_split_regex(lower(url), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM pages),
 p AS (SELECT label, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM l), n AS (SELECT label, pos, x, lead(x) OVER (PARTITION BY label ORDER BY pos) AS y FROM p),
-g AS (SELECT label, pos, 1 AS len, x AS gram FROM n UNION ALL SELECT label, pos, 2, x || ' ' || y FROM n WHERE y IS NOT NULL), m AS (SELECT DISTINCT label, pos, len, term FROM g JOIN t ON gram = term),
+g AS (SELECT label, pos, 1 AS len, x AS gram FROM n UNION ALL SELECT label, pos, 2, x || ' ' || y FROM n WHERE y IS NOT NULL), m AS (SELECT DISTINCT label, pos, len, term FROM g JOIN t ON gram = replace(term, '-', ' ')),
 h AS (SELECT DISTINCT label, term FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.label = a.label AND b.len > a.len AND b.pos <= a.pos AND a.pos + a.len <= b.pos + b.len))
 """
 
@@ -68,20 +68,20 @@ def terms_of(spark) -> DataFrame:
 
 
 def texts_of(spark, sf_dir) -> DataFrame:
-    """Whole texts as labels; each document is a label of its own."""
-    return table(spark, sf_dir, "documents").select(F.col("text").alias("label"))
+    """Addresses of pages as labels."""
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("label"))
 
 
-@query(WORDS + """SELECT md5(text) AS label_md5, list_sort(list(DISTINCT lower(eq)))::VARCHAR AS also FROM h JOIN t USING (term) JOIN documents ON doc_id = label GROUP BY text""")
+@query(WORDS + """SELECT url AS label, list_sort(list(DISTINCT lower(eq)))::VARCHAR AS also FROM h JOIN t USING (term) JOIN pages ON page_id = label GROUP BY url""")
 def label_equivalents(spark, sf_dir):
-    """Equivalents of the terms that distinct texts hold, a longer term's occurrence hiding a shorter one's."""
+    """Equivalents of the terms that distinct labels hold, a longer term's occurrence hiding a shorter one's."""
     found = enrich.label_equivalents(texts_of(spark, sf_dir).distinct(), terms_of(spark))
-    return found.select(F.md5("label").alias("label_md5"), F.concat(F.lit("["), F.array_join(F.transform("also", F.lower), ", "), F.lit("]")).alias("also"))
+    return found.select("label", F.concat(F.lit("["), F.array_join(F.transform("also", F.lower), ", "), F.lit("]")).alias("also"))
 
 
-@query(WORDS + "SELECT DISTINCT term FROM t WHERE term NOT IN (SELECT gram FROM g)")
+@query(WORDS + "SELECT DISTINCT term FROM t WHERE replace(term, '-', ' ') NOT IN (SELECT gram FROM g)")
 def missing_terms(spark, sf_dir):
-    """Terms that occur in no text."""
+    """Terms that occur in no label."""
     return enrich.missing_terms(texts_of(spark, sf_dir), terms_of(spark).select("term").distinct())
 
 
