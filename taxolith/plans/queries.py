@@ -156,11 +156,12 @@ def phrase_theta_join(spark, sf_dir):
 # --- structure ------------------------------------------------------------------------------------------------------
 
 ROWS = """
-WITH rows_ AS (
-  SELECT n::varchar AS file, (n::bigint * 1000000000 + r)::bigint AS position, code, text, unit, qty FROM (
-    SELECT r_regionkey AS n, 0 AS r, (r_regionkey + 1)::varchar AS code, r_name AS text, '' AS unit, '' AS qty FROM region
-    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000000, (n_regionkey + 1) || '.' || (n_nationkey + 1), n_name, '', '' FROM nation
-    UNION ALL SELECT n_regionkey, (n_nationkey + 1) * 10000000 + 1 + c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || (c_custkey + 1) END, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END,
+WITH blocks AS (SELECT DISTINCT n_nationkey AS n, n_regionkey AS g, n_name, r_name, c_custkey // 500 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+rows_ AS (
+  SELECT n || '-' || b AS file, ((n * 1000000 + b) * 1000000000 + r)::bigint AS position, code, text, unit, qty FROM (
+    SELECT n::bigint AS n, b::bigint AS b, 0 AS r, (g + 1)::varchar AS code, r_name AS text, '' AS unit, '' AS qty FROM blocks
+    UNION ALL SELECT n, b, 1, (g + 1) || '.' || (n + 1), n_name, '', '' FROM blocks
+    UNION ALL SELECT n_nationkey, c_custkey // 500, 2 + c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || (c_custkey + 1) END, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name END,
       CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN '' ELSE 'm' END, CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN '' ELSE '1' END
     FROM customer JOIN nation ON c_nationkey = n_nationkey)),
 nx AS (SELECT *, first_value(nullif(code, '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY position ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM rows_),
@@ -170,19 +171,18 @@ kinds AS (SELECT file, position, code, text, unit, qty, CASE WHEN code = '' AND
 
 
 def rows_of(spark, sf_dir) -> DataFrame:
-    """Regions, nations and customers with hierarchical codes, a file per region."""
-    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
-    none = F.lit("")
+    """Regions, nations and customers with hierarchical codes, a file for each nation and 500 customers."""
+    none, k = F.lit(""), F.col("c_custkey")
     code = lambda *c: F.concat_ws(".", *[(F.col(x) + 1).cast("string") for x in c])
-    a = region.select(F.col("r_regionkey").alias("n"), F.lit(0).cast("long").alias("r"), code("r_regionkey").alias("code"), F.col("r_name").alias("text"), none.alias("unit"), none.alias("qty"))
-    b = nation.select("n_regionkey", ((F.col("n_nationkey") + 1) * 10000000).cast("long"), code("n_regionkey", "n_nationkey"), "n_name", none, none)
-    k = F.col("c_custkey")
-    c = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "n_regionkey", ((F.col("n_nationkey") + 1) * 10000000 + 1 + k).cast("long"), F.when(k % 11 == 0, "").otherwise(code("n_regionkey", "n_nationkey", "c_custkey")),
-        F.when(k % 13 == 0, "").otherwise(F.col("c_name")), F.when((k % 11 == 0) | (k % 13 == 0), "").otherwise("m"), F.when((k % 11 == 0) | (k % 13 == 0), "").otherwise("1"),
-    )
-    n = F.col("n").cast("long")
-    return a.union(b).union(c).select(n.cast("string").alias("file"), (n * 1000000000 + F.col("r")).alias("position"), "code", "text", "unit", "qty")
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = table(spark, sf_dir, "customer").join(both, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("b", F.expr("c_custkey div 500"))
+    blocks = customers.select("n_nationkey", "n_regionkey", "n_name", "r_name", "b").distinct()
+    keys = [F.col("n_nationkey").cast("long").alias("n"), F.col("b")]
+    heads = [blocks.select(*keys, F.lit(r).cast("long").alias("r"), c.alias("code"), F.col(name).alias("text"), none.alias("unit"), none.alias("qty")) for r, c, name in ((0, code("n_regionkey"), "r_name"), (1, code("n_regionkey", "n_nationkey"), "n_name"))]
+    given = lambda value: F.when((k % 11 == 0) | (k % 13 == 0), "").otherwise(value)
+    items = customers.select(*keys, (2 + k).cast("long").alias("r"), F.when(k % 11 == 0, "").otherwise(code("n_regionkey", "n_nationkey", "c_custkey")).alias("code"), F.when(k % 13 == 0, "").otherwise(F.col("c_name")).alias("text"), given("m").alias("unit"), given("1").alias("qty"))
+    rows = heads[0].unionByName(heads[1]).unionByName(items)
+    return rows.select(F.concat_ws("-", "n", "b").alias("file"), ((F.col("n") * 1000000 + F.col("b")) * 1000000000 + F.col("r")).alias("position"), "code", "text", "unit", "qty")
 
 
 @query(ROWS + "SELECT position, kind FROM kinds")
