@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxolith.functions import attributes, stats, text
 from taxolith.operators import decide, runlog, sample, score, select, structure, taxonomy, votes
-from taxolith.plans import queries
+from taxolith.plans import catalog as queries
 from taxolith.sources import delimited, records
 from taxolith.streaming import files
 
