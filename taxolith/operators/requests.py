@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolith.functions.canonical import quoted
+from taxolith.sources import tables
+
+#: All candidates together are sent to every task up to this size.
+CANDIDATE_BYTES = 64 << 20
 
 #: Characters of markup, which a request writes as JSON escapes so that no line can close the envelope it stands in.
 MARKUP = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026"}
@@ -43,11 +47,14 @@ def user_payload(lines: DataFrame, with_path: bool = True) -> DataFrame:
 def verifier_payload(lines: DataFrame, coded: DataFrame) -> DataFrame:
     """batch, type, payload: a batch's flagged lines of a type with all rows of the type as candidates, as one JSON object.
 
-    lines: batch, type, position and what line_record() reads; batches are as small as a request may be.
+    lines: batch, type, position and what line_record() reads; batches are as small as a request may be. Candidates are
+    written and measured: up to CANDIDATE_BYTES they are sent along, so that the lines' texts move once, else both are shuffled.
     """
     ours = lines.groupBy("batch", "type").agg(F.array_sort(F.collect_list(F.struct("position", line_record().alias("text")))).alias("lines"))
     row = spaced([("code", quoted(F.col("code"))), ("subtype", quoted(F.col("subtype"))), ("usage", quoted(F.col("usage")))])
-    rows = coded.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("code", row.alias("text")))).alias("rows"))
+    rows = tables.written(coded.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("code", row.alias("text")))).alias("rows")), "candidates")
+    size = rows.agg(F.coalesce(F.sum(F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r["text"]))), F.lit(0)).alias("bytes")).first().bytes
+    rows = F.broadcast(rows) if size <= CANDIDATE_BYTES else rows
     texts = lambda c: listed(F.transform(c, lambda x: x["text"]))
     body = spaced([("candidates", texts("rows")), ("lines", texts("lines")), ("type", quoted(F.col("type")))])
     return ours.join(rows, "type").select("batch", "type", escaped(body).alias("payload"))
