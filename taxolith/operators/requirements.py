@@ -63,10 +63,10 @@ def service_unit(unit: Column, units: list[str], aliases: dict[str, str]) -> Col
     return trimmed.isin(*units) | canonical.isin(*units)
 
 
-def skips_backed(output: DataFrame, lines: DataFrame, units: list[str], aliases: dict[str, str], markers: list[str]) -> DataFrame:
-    """Skipped rows whose reason may not skip, and services that are measured otherwise or that name a supply."""
+def skips_backed(output: DataFrame, lines: DataFrame, units: list[str], aliases: dict[str, str], markers: list[str], norm=texts.normalize) -> DataFrame:
+    """Skipped rows whose reason may not skip, and services that are measured otherwise or that name a supply in the normal form of their text."""
     skipped = output.where(F.col("decision") == "not_a_material").join(lines.select("position", "unit", "text", F.lit(True).alias("_line")), "position", "left")
-    supply = texts.normalize(F.col("text")).rlike(texts.phrase_pattern(markers))
+    supply = norm(F.col("text")).rlike(texts.phrase_pattern(markers))
     service = F.col("reason") == "G2_SERVICE"
     problem = (
         F.when(~F.coalesce(F.col("reason").isin(*SKIPS), F.lit(False)), "reason").when(service & F.col("_line").isNull(), "no line")
