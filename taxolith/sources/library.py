@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +32,19 @@ CODE_REPEATS, LAYOUT_CHARS, CHARS_PER_TOKEN = 3, 24, 3
 WARN_TOKENS, MOST_TOKENS = 30_000, 150_000
 
 
-def library_rows(name: str, data: bytes) -> list[tuple[int, str, str, str]]:
-    """(line, type, usage, subtype) of one file; a file without header, column or rows, or with a row that doesn't fit, is an error."""
-    body = data.decode("utf-8-sig")
-    first = body.split("\n", 1)[0]
+def library_rows(name: str, data: pa.Buffer) -> Iterator[tuple[int, str, str, str]]:
+    """(line, type, usage, subtype) of one file, as it is read; a file without header, column or rows, or with a row that doesn't fit, is an error."""
+    first = io.TextIOWrapper(pa.BufferReader(data), encoding="utf-8-sig", newline="\n").readline().removesuffix("\n")
     if not first.strip():
         raise ValueError(f"{name}: no header")
-    reader = csv.reader(io.StringIO(body, newline=""), delimiter=";" if first.count(";") > first.count(",") else ",")
+    lines = io.TextIOWrapper(pa.BufferReader(data), encoding="utf-8-sig", newline="")
+    reader = csv.reader(lines, delimiter=";" if first.count(";") > first.count(",") else ",")
     header = [h.strip().casefold() for h in next(reader)]
     for column in LEVELS.values():
         if header.count(column) != 1:
             raise ValueError(f"{name}: {'no' if column not in header else 'more than one'} column {column}")
     at = [header.index(c) for c in LEVELS.values()]
-    rows = []
+    some = False
     for row in reader:
         if not any(c.strip() for c in row):
             continue
@@ -50,22 +53,33 @@ def library_rows(name: str, data: bytes) -> list[tuple[int, str, str, str]]:
         cells = [row[k] for k in at]
         if not cells[0].strip() or not cells[1].strip():
             raise ValueError(f"{name}: line {reader.line_num} has a blank type or usage")
-        rows.append((reader.line_num, *cells))
-    if not rows:
+        some = True
+        yield reader.line_num, *cells
+    if not some:
         raise ValueError(f"{name}: no rows")
-    return rows
+
+
+ROWS = "file string, position int, type string, usage string, subtype string"
+#: Rows of a file that are Python's at a time.
+BATCH = 10_000
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """file, position, type, usage, subtype of library files, in the files' order of lines; see library_rows() for errors."""
+    """file, position, type, usage, subtype of library files, in the files' order of lines; see library_rows() for errors.
+
+    A file's bytes are read where Arrow put them, and its rows are handed on in batches: neither its text nor its list of
+    rows is ever whole in Python.
+    """
+    kinds = [("file", pa.string()), ("position", pa.int32()), *[(level, pa.string()) for level in LEVELS]]
 
     def run(batches):
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                rows = library_rows(name, bytes(content))
-                yield pd.DataFrame([(name, *r) for r in rows], columns=["file", "position", *LEVELS])
+            for name, content in zip(b.column("path"), b.column("content"), strict=True):
+                for rows in itertools.batched(library_rows(name.as_py(), content.as_buffer()), BATCH):
+                    columns = [[name.as_py()] * len(rows), *zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, position int, type string, usage string, subtype string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
 
 
 def estimated_size(coded: DataFrame) -> DataFrame:
