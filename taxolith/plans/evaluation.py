@@ -22,7 +22,10 @@ BOTH = "(l.s IS NOT NULL AND r.s IS NOT NULL OR len(l.x) > 0 AND len(r.x) > 0 OR
 
 
 def texts_of(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, attributes.extract(F.expr(STATED)).alias("a"))
+    """keys, a: attributes of the text that states them; equal texts are read once."""
+    stated = df.select(*keys, F.expr(STATED).alias("stated"))
+    read = tables.written(stated.select("stated").distinct().select("stated", attributes.extract(F.col("stated")).alias("a")), "stated")
+    return stated.join(tables.small(read), "stated").select(*keys, "a")
 
 
 @query(f"""WITH l AS (SELECT doc_id AS line, n, n % 2500 + 1 AS label, {VALUES} FROM (SELECT doc_id, n_chars AS n FROM documents)), r AS (SELECT label, {VALUES} FROM (SELECT p_partkey AS label, p_partkey * 7 + p_size AS n FROM part)),
