@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -198,12 +199,29 @@ def dealt(placed: DataFrame, bins: int) -> DataFrame:
     return rows.withColumn("bin", F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
 
 
-def block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links among the rows of each (cluster, i, j): all pairs of a block with i = j, else pairs across."""
+def packed(text: str | None) -> bytes:
+    return zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(data: bytes) -> str:
+    return zlib.decompress(data).decode("utf-8", "surrogatepass")
+
+
+def block_links(pdf: pd.DataFrame, n: int, num: int, den: int) -> pd.DataFrame:
+    """Links among the rows of each (cluster, i, j): all pairs of a block with i = j, else pairs across.
+
+    Rows come with packed texts, which are a fraction of their sets; a text that is not its node's, because its
+    identifier has several, is left out.
+    """
     nodes, roots, counts = [], [], []
     for (_, i, j), rows in pdf.groupby(["cluster", "i", "j"], sort=False):
+        found = [shingle_set(unpacked(t), n) for t in rows["packed"]]
+        own = [first_digest(g) == k for g, k in zip(found, rows["node"], strict=True)]
+        rows = rows.drop(columns="packed").assign(grams=pd.Series([signed(g) for g in found], rows.index, object))[own]
         rows = rows.drop_duplicates("node").sort_values(["block", "node"])
-        sets = [np.asarray(s, np.int64) for s in rows["grams"]]
+        if rows.empty:
+            continue
+        sets = list(rows["grams"])
         size, node, copies = np.array([len(s) for s in sets]), rows["node"].to_numpy(), rows["copies"].to_numpy()
         left = None if i == j else int((rows["block"] == i).sum())
         if left is not None and not 0 < left < len(sets):
@@ -238,7 +256,9 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table = common.kept(fragmented(texts, n, num, den), "fragments")
+    keyed = common.kept(fragmented(texts, n, num, den), "fragments")
+    # the numbers take most of the room and are read once: they go before sets are moved
+    table = common.kept(keyed.drop("keys"), "sets")
     filled = table.where("n_shingles > 0")
 
     # classes of equal sets; the smallest identifier stands for each
@@ -249,10 +269,10 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     copies = common.kept(copies, "copies")
 
     # candidates: sets that sent the same number for the same fragment
-    sent = filled.join(common.checked(copies), ["doc_id", "k1"], "left_anti").select(F.explode("keys").alias("key"), F.col("k1").alias("sid"))
+    sent = keyed.where("n_shingles > 0").join(common.checked(copies), ["doc_id", "k1"], "left_anti").select(F.explode("keys").alias("key"), F.col("k1").alias("sid"))
     star = sent.withColumn("first", F.min("sid").over(Window.partitionBy("key"))).where("first <> sid").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     clusters = connected_components(star)
-    common.discard(copies)
+    common.discard(copies, keyed)
 
     # counts per cell refine the clusters before any set is moved: what can't reach the threshold is cut
     wide = classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "min_id", "cluster", "copies", "n_shingles")
@@ -272,17 +292,12 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     common.discard(wide)
     chosen = texts.join(common.checked(placed), texts.doc_id == placed.min_id)
 
-    def sets(batches):
+    def pack(batches):
         for b in batches:
-            found = [shingle_set(t, n) for t in b.column("text").to_pylist()]
-            own = pa.array([first_digest(g) == k for g, k in zip(found, b.column("node").to_pylist(), strict=True)], pa.bool_())
-            flat, b = [signed(g) for g, o in zip(found, own.to_pylist(), strict=True) if o], b.filter(own)
-            ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-            values = pa.array(np.concatenate([*flat, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("node", "cluster", "copies", "blocks", "block")], pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "cluster", "copies", "blocks", "block", "grams"])
-
-    with_sets = chosen.select("node", "cluster", "copies", "blocks", "block", "text").mapInArrow(sets, "node long, cluster long, copies long, blocks long, block long, grams array<long>")
-    links = common.kept(dealt(with_sets, bins).groupBy("bin").applyInPandas(lambda pdf: block_links(pdf, num, den), "node long, root long, links long"), "links")
+            yield b.set_column(b.schema.get_field_index("text"), "packed", pa.array([packed(t) for t in b.column("text").to_pylist()], pa.binary()))
+
+    with_texts = chosen.select("node", "cluster", "copies", "blocks", "block", "text").mapInArrow(pack, "node long, cluster long, copies long, blocks long, block long, packed binary")
+    links = common.kept(dealt(with_texts, bins).groupBy("bin").applyInPandas(lambda pdf: block_links(pdf, n, num, den), "node long, root long, links long"), "links")
     common.discard(placed)
     components = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
