@@ -3,8 +3,11 @@
 The global order of n-grams is that of their hashes. It is cut into fragments, and fragments, not documents, are dealt
 to tasks. Two sets of sizes a and b with Jaccard t or more differ in at most (a + b)(1 - t)/(1 + t) n-grams; cut into
 more fragments than that, at least one fragment is the same in both. So a document sends one number for each of its
-fragments, documents that share a number are candidates, and the candidates' closure gives clusters outside which no
-link exists. Inside a cluster the overlaps of fragments are counted apart and summed per pair, exactly; clusters with
+fragments, and documents that share a number are candidates. A candidate pair stays if its counts of n-grams per cell
+allow a link: first each document is held against the first one with the same number, then those with one number that
+this has not connected against each other. The closure of what stays gives clusters outside which no link exists; that of
+all candidates would not do, for long documents share numbers by chance and chain into one cluster that grows with the
+table. Inside a cluster the overlaps of fragments are counted apart and summed per pair, exactly; clusters with
 many documents are split into blocks and the pairs of blocks are dealt to tasks, so no task holds more than two blocks.
 
 Documents with the same set are one class from the start and never make pairs. Links between classes leave a task as a
@@ -37,8 +40,8 @@ BLOCK_DOCS, BLOCK_GRAMS = 512, 1_000_000
 FRAGMENT = 2_048
 #: Orders of n-grams by which a set with many weak fragments is cut.
 ORDERS = 8
-#: Cells of hashes whose counts bound an overlap from above.
-CELLS = 64
+#: N-grams of one cell at most on average; the counts per cell bound an overlap from above. A document has so many cells as its size asks.
+CELL = 8
 #: A band's largest size over its smallest.
 BAND = 1.3
 
@@ -157,32 +160,77 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def cells_of(grams: np.ndarray) -> np.ndarray:
-    """How many n-grams lie in each cell of the order."""
-    return np.bincount((grams.view(np.uint64) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
-
-
-def plausible(cells: np.ndarray, left: int | None, num: int, den: int) -> np.ndarray:
-    """Symmetric matrix of pairs whose overlap, cell by cell at most the smaller count, may reach the threshold."""
-    size = cells.sum(axis=1)
-    out = np.zeros((len(cells), len(cells)), bool)
-    for i in range(len(cells) if left is None else left):
-        j = i + 1 if left is None else left
-        total = size[i] + size[j:]
-        most = (total - np.abs(cells[j:] - cells[i]).sum(axis=1)) // 2
-        out[i, j:] = den * most >= num * (total - most)
+    """How many n-grams lie in each cell of the order; empty, for not known, if a byte can't hold a count."""
+    level = max(3, (len(grams) // CELL).bit_length())
+    counts = np.bincount((grams.view(np.uint64) >> np.uint64(64 - level)).astype(np.int64), minlength=1 << level)
+    return counts.astype(np.uint8) if counts.max() < 256 else np.zeros(0, np.uint8)
+
+
+def coarser(cells: np.ndarray, width: int) -> np.ndarray:
+    return cells.astype(np.uint16) if len(cells) == width else cells.reshape(width, -1).sum(axis=1, dtype=np.uint16)
+
+
+def may_link(size_a: int, size_b: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether an overlap, cell by cell at most the smaller count, may reach the threshold."""
+    if den * min(size_a, size_b) < num * max(size_a, size_b):
+        return False
+    if not len(a) or not len(b):
+        return True
+    width = min(len(a), len(b))
+    most = int(np.minimum(coarser(a, width), coarser(b, width)).sum(dtype=np.int64))
+    return den * most >= num * (size_a + size_b - most)
+
+
+def plausible(sizes: np.ndarray, cells: list[np.ndarray], num: int, den: int, *apart: np.ndarray) -> np.ndarray:
+    """Symmetric matrix of pairs that may_link() lets pass and that differ in each of the arrays apart."""
+    order = np.argsort(sizes, kind="stable")
+    size, width, apart = sizes[order], np.array([len(cells[k]) for k in order]), [x[order] for x in apart]
+    end = np.searchsorted(size * num, size * den, "right")
+    out = np.zeros((len(sizes), len(sizes)), bool)
+    known = np.flatnonzero(width)
+    for w in np.unique(width[known]):
+        # larger sets have no fewer cells: all that rows of this width meet further on are made as coarse
+        rows = known[width[known] == w]
+        span = known[(known >= rows[0]) & (known < end[rows[-1]])]
+        table = np.stack([coarser(cells[order[k]], w) for k in span])
+        for a, i in enumerate(rows):
+            met = np.arange(a + 1, np.searchsorted(span, end[i]))
+            for x in apart:
+                met = met[x[span[met]] != x[i]]
+            if len(met):
+                most = np.minimum(table[met], table[a]).sum(axis=1, dtype=np.int64)
+                out[order[i], order[span[met]]] = den * most >= num * (size[i] + size[span[met]] - most)
+    for i in np.flatnonzero(width == 0):
+        near = (den * size >= num * size[i]) & (den * size[i] >= num * size) & (np.arange(len(size)) != i)
+        for x in apart:
+            near &= x != x[i]
+        out[order[i], order[near]] = True
     return out | out.T
 
 
+def first_links(edges: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges(a, b, na, nb, ca, cb) that may_link() lets pass, as (a, b)."""
+
+    def run(batches):
+        for t in batches:
+            rows = zip(*(t.column(c).to_pylist() for c in ("na", "nb", "ca", "cb")), strict=True)
+            yield t.filter(pa.array([may_link(na, nb, np.frombuffer(ca, np.uint8), np.frombuffer(cb, np.uint8), num, den) for na, nb, ca, cb in rows], pa.bool_())).select(["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def block_candidates(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """(a, b) that connect what plausible() connects among the rows of each (cluster, i, j)."""
+    """(a, b) that connect what plausible() connects among the rows of each (cluster, i, j), labels that are equal already left out."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for (_, i, j), rows in pdf.groupby(["cluster", "i", "j"], sort=False):
-        rows = rows.drop_duplicates("node").sort_values(["block", "node"])
-        left = None if i == j else int((rows["block"] == i).sum())
-        if left is None or 0 < left < len(rows):
-            linked = plausible(np.stack([np.frombuffer(c, np.int32) for c in rows["cells"]]), left, num, den)
-            some, node = linked.any(axis=1), rows["node"].to_numpy()
-            a.append(node[some]), b.append(node[forest(linked)][some])
+    pdf = pdf.drop_duplicates(["cluster", "i", "j", "node"]).sort_values(["cluster", "i", "j", "node"])
+    group, node, size, cells = pdf[["cluster", "i", "j"]].to_numpy(), pdf["node"].to_numpy(), pdf["n_shingles"].to_numpy(), [np.frombuffer(c, np.uint8) for c in pdf["cells"]]
+    label, block = pdf["label"].to_numpy(), pdf["block"].to_numpy()
+    cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1), len(pdf)]
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        apart = [label[x:y]] if group[x, 1] == group[x, 2] else [label[x:y], block[x:y]]
+        linked = plausible(size[x:y], cells[x:y], num, den, *apart)
+        some = linked.any(axis=1)
+        a.append(node[x:y][some]), b.append(node[x:y][forest(linked)][some])
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
@@ -226,7 +274,7 @@ def block_links(pdf: pd.DataFrame, n: int, num: int, den: int) -> pd.DataFrame:
         left = None if i == j else int((rows["block"] == i).sum())
         if left is not None and not 0 < left < len(sets):
             continue
-        linked = plausible(np.stack(list(map(cells_of, sets))), left, num, den)
+        linked = plausible(size, list(map(cells_of, sets)), num, den, *([] if left is None else [rows["block"].to_numpy()]))
         some = np.flatnonzero(linked.any(axis=1))
         if not len(some):
             continue
@@ -270,26 +318,33 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
 
     # candidates: sets that sent the same number for the same fragment
     sent = keyed.where("n_shingles > 0").join(common.checked(copies), ["doc_id", "k1"], "left_anti").select(F.explode("keys").alias("key"), F.col("k1").alias("sid"))
-    star = sent.withColumn("first", F.min("sid").over(Window.partitionBy("key"))).where("first <> sid").select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    clusters = connected_components(star)
+    w = Window.partitionBy("key")
+    shared = common.kept(sent.withColumn("first", F.min("sid").over(w)).where("first <> sid").select("key", "first", "sid"), "shared")
     common.discard(copies, keyed)
-
-    # counts per cell refine the clusters before any set is moved: what can't reach the threshold is cut
-    wide = classes.join(clusters.withColumnsRenamed({"node": "k1", "root": "cluster"}), "k1").select("node", "min_id", "cluster", "copies", "n_shingles")
-    wide = common.kept(placed_in_blocks(wide, 2 * BLOCK_DOCS, 1 << 40), "wide_clusters")
-    # an identifier may stand for several texts: the set's number tells them apart
-    cells = filled.select("doc_id", F.col("k1").alias("node"), "cells").join(common.checked(wide), "node").where("doc_id <=> min_id").dropDuplicates(["node"])
-    bins = wide.count() // BLOCK_DOCS + 4
-    fine = dealt(cells.select("node", "cluster", "blocks", "block", "cells"), bins).groupBy("bin").applyInPandas(lambda pdf: block_candidates(pdf, num, den), "a long, b long")
-    clusters = connected_components(fine).withColumnRenamed("root", "cluster")
+    asked = common.kept(shared.select("sid").union(shared.select("first")).distinct(), "asked")
+    # sets with one number are equal: any row has their cells
+    cells = common.kept(filled.select(F.col("k1").alias("sid"), "n_shingles", "cells").join(common.checked(asked), "sid").dropDuplicates(["sid"]), "cells")
+    common.discard(asked)
+
+    # counts per cell let candidates pass, before any set is moved: against the first of a number, then what is not connected yet with each other
+    side = lambda x: cells.select(F.col("sid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("cells").alias(f"c{x}"))
+    star = shared.select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    star = common.kept(first_links(star.select("a", "b", "na", "nb", "ca", "cb"), num, den), "first_links")
+    labels = connected_components(star).select(F.col("node").alias("sid"), F.col("root").alias("label"))
+    labelled = shared.join(labels, "sid", "left").select("key", F.col("sid").alias("node"), F.coalesce("label", "sid").alias("label"))
+    apart = labelled.withColumns({"least": F.min("label").over(w), "most": F.max("label").over(w)}).where("least <> most")
+    apart = common.kept(apart.select(F.col("key").alias("cluster"), "node", "label"), "apart")
+    rows = placed_in_blocks(apart.join(cells.withColumnRenamed("sid", "node"), "node"), BLOCK_DOCS, 1 << 40)
+    fine = dealt(rows, apart.count() // BLOCK_DOCS + 4).groupBy("bin").applyInPandas(lambda pdf: block_candidates(pdf, num, den), "a long, b long")
+    clusters = connected_components(star.union(fine)).withColumnsRenamed({"root": "cluster"})
+    common.discard(shared, cells, star, apart)
 
     common.collected(spark)
 
     # clusters to blocks
-    members = wide.select("node", "min_id", "copies", "n_shingles").join(clusters, "node")
+    members = classes.select("node", "min_id", "copies", "n_shingles").join(clusters, "node")
     placed = common.kept(placed_in_blocks(members, BLOCK_DOCS, BLOCK_GRAMS), "clusters")
     bins = int(placed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] // BLOCK_GRAMS) * 2 + 4
-    common.discard(wide)
     chosen = texts.join(common.checked(placed), texts.doc_id == placed.min_id)
 
     def pack(batches):
